@@ -41,7 +41,7 @@ class UnitTable:
     units, which bounds the worker's memory and changes no result.
     """
 
-    def __init__(self, compute: Callable[[list], list], dtype, limit: int = 400_000) -> None:
+    def __init__(self, compute: Callable[[list], list], dtype, limit: int = 700_000) -> None:
         self.compute, self.dtype, self.limit = compute, dtype, limit
         self._reset()
 
