@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import langid, simhash, tokenfile
+from prospecta.llm import langid, pii, simhash, tokenfile
 from prospecta.llm.heldout import held_out
 
 
+#: The key of the registered query; a real run passes its own secret.
+PII_KEY = "prospecta-demonstration-key"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogates(docs, key=PII_KEY, count_col="n_mentions")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +39,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op7_token_files, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_language_id, op4_pii_surrogates, op7_token_files, op10_simhash_components,)}
 
 
 def oracle_sql() -> dict:
