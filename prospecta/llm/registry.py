@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import langid, pii, simhash, tokenfile
+from prospecta.llm import langid, pii, simhash, tokenfile, warc
 from prospecta.llm.heldout import held_out
 
 
@@ -22,6 +22,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_warc(_table(spark, sf_dir, "pages"))
+    found = warc.read_warc(spark, folder, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.surrogates(docs, key=PII_KEY, count_col="n_mentions")
@@ -39,8 +45,19 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op4_pii_surrogates, op7_token_files, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op7_token_files, op10_simhash_components,)}
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+       CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_warc_archives": _WARC_SQL}
