@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import langid, pii, simhash, tokenfile, warc
+from prospecta.llm import langid, pii, simhash, tokenfile, topk, warc
 from prospecta.llm.heldout import held_out
 
 
@@ -39,13 +39,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op7_token_files, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op7_token_files, op9_top_products, op10_simhash_components,)}
 
 
 _WARC_SQL = """
@@ -59,5 +63,19 @@ FROM d LEFT JOIN f USING (payload_digest)
 """
 
 
+_TOP_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op3_warc_archives": _WARC_SQL}
+    return {"op9_top_products": _TOP_SQL, "op3_warc_archives": _WARC_SQL}
