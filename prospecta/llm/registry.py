@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import langid, pii, simhash, tokenfile, topk, warc
+from prospecta.llm import langid, pii, simhash, tokenfile, topk, toxicity, warc
 from prospecta.llm.heldout import held_out
 
 
@@ -39,6 +39,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(tokenfile.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_products(_table(spark, sf_dir, "embeddings"))
 
@@ -49,7 +55,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op7_token_files, op9_top_products, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op7_token_files, op8_toxicity, op9_top_products, op10_simhash_components,)}
 
 
 _WARC_SQL = """
