@@ -37,41 +37,48 @@ class _Index(dict):
 class UnitTable:
     """Result arrays of distinct text units, each computed once per worker.
 
-    ``compute(units)`` returns one list of integers per unit. The table restarts once it holds ``limit``
-    units, which bounds the worker's memory and changes no result.
+    ``compute(units)`` returns (flat, start, size): the results of all units, and where each one's are. The
+    table restarts once it holds ``limit`` units, which bounds the worker's memory and changes no result.
     """
 
-    def __init__(self, compute: Callable[[list], list], dtype, limit: int = 700_000) -> None:
-        self.compute, self.dtype, self.limit = compute, dtype, limit
+    def __init__(self, compute: Callable[[list], tuple[np.ndarray, np.ndarray, np.ndarray]], dtype, limit: int = 1_000_000) -> None:
+        self.compute, self.dtype, self.limit = compute, np.dtype(dtype), limit
         self._reset()
 
     def _reset(self) -> None:
         self.index, self.used = _Index(), 0
-        self.flat = np.empty(1 << 16, self.dtype)
-        self.bounds = np.zeros(1, np.int64)
+        self.flat, self.start, self.size = np.empty(1 << 16, self.dtype), np.empty(1 << 12, np.int32), np.empty(1 << 12, np.uint16)
 
     def rows(self, units: list) -> np.ndarray:
         """Row of each unit; rows stay valid until the next call."""
         if len(self.index) > self.limit:
             self._reset()
-        rows = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        before = len(self.index)
+        rows = np.fromiter(map(self.index.__getitem__, units), np.int32, len(units))
         if self.index.pending:
-            found = self.compute(self.index.pending)
+            flat, start, size = self.compute(self.index.pending)
             self.index.pending = []
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            new = np.fromiter((x for one in found for x in one), self.dtype, int(sizes.sum()))
-            if self.used + len(new) > len(self.flat):
-                grown = np.empty(2 * (self.used + len(new)), self.dtype)
-                grown[: self.used] = self.flat[: self.used]
-                self.flat = grown
-            self.flat[self.used : self.used + len(new)] = new
-            self.bounds = np.concatenate([self.bounds, self.used + np.cumsum(sizes)])
-            self.used += len(new)
+            if len(size) and int(size.max()) > 65535:
+                self.size = self.size.astype(np.int32)
+            self.flat = _room(self.flat, self.used + len(flat))
+            self.start, self.size = _room(self.start, before + len(start)), _room(self.size, before + len(start))
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.start[before : before + len(start)] = start + self.used
+            self.size[before : before + len(start)] = size
+            self.used += len(flat)
         return rows
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The concatenated results of ``rows`` and how many each row has."""
-        start, size = self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows]
+        size = self.size[rows].astype(np.int64)
         ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[rows] - (ends - size), size)
         return self.flat[at], size
+
+
+def _room(held: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(held):
+        return held
+    grown = np.empty(size + len(held) // 2, held.dtype)
+    grown[: len(held)] = held
+    return grown

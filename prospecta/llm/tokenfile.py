@@ -113,10 +113,12 @@ def file_bytes(doc_ids: list, sizes: list[int], ids: np.ndarray) -> list[bytes]:
     return [head, ends.to_bytes(), own.to_bytes(), ids.tobytes()]
 
 
-#: A unit starts at a run of spaces and line feeds; the tokenizer never joins text across such a start.
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Units start where the tokenizer never joins text: at a run of spaces and line feeds, between a word and
+#: the punctuation after it, and after that punctuation.
+_UNIT = re.compile(r"[ \n]?[^\W\d_]+(?=[.,;:!?])|[.,;:!?]+(?=[ \n])|[ \n]*[^ \n]+|[ \n]+")
 #: With other white space a whole text goes to the tokenizer at once.
-_OTHER_SPACE = re.compile("[^\\S \n]|[\u180e\u200b\ufeff]")
+# What either library may take for white space, but for the space and the line feed.
+_OTHER_SPACE = [chr(c) for c in (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
 
 
 class Encoder:
@@ -124,20 +126,41 @@ class Encoder:
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        # Units of letters behind at most one space are one piece to the pre-tokenizer, so it can skip its
+        # pattern; joined by a special token, which such a unit can't hold, they are encoded in one call.
+        self.pieces, self.mark = Tokenizer.from_str(tokenizer_json), next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not t.content.isalpha()), None)
+        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mark_id = None if self.mark is None else self.tokenizer.token_to_id(self.mark)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.table = UnitTable(self._encode, self.dtype)
+        self.table = UnitTable(self._units, self.dtype)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = np.fromiter((self.mark is not None and (u[1:] if u[0] == " " else u).isalpha() for u in units), bool, len(units))
+        start, size = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        others = self._encode([u for u, p in zip(units, plain, strict=True) if not p])
+        size[~plain] = np.fromiter(map(len, others), np.int64, len(others))
+        parts = [np.fromiter((x for one in others for x in one), self.dtype, int(size[~plain].sum()))]
+        start[~plain] = np.cumsum(size[~plain]) - size[~plain]
+        if plain.any():
+            joined = self.mark + self.mark.join(u for u, p in zip(units, plain, strict=True) if p)
+            ids = np.array(self.pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            marks = np.flatnonzero(ids == self.mark_id)
+            start[plain] = marks + 1 + len(parts[0])
+            size[plain] = np.diff(marks, append=len(ids)) - 1
+            parts.append(ids)
+        return np.concatenate(parts), start, size
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         units, counts, whole = [], [], {}
         for k, text in enumerate(texts):
-            if _OTHER_SPACE.search(text):
+            if any(c in text for c in _OTHER_SPACE):
                 whole[k] = np.array(self._encode([text])[0], self.dtype)
                 counts.append(0)
             else:
