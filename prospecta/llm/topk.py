@@ -130,7 +130,9 @@ def top_products(rows: DataFrame, id_col="vec_id", vector_col="embedding", step:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     share = min(1.0, SAMPLE_ROWS / n)
     sample = held.where(F.pmod(F.xxhash64(F.lit("svd"), "q"), F.lit(1 << 32)) < int(share * (1 << 32))).select("v").toArrow()
-    turn = np.linalg.svd(_matrix(sample.column("v"), width), full_matrices=True)[2].T if sample.num_rows else np.eye(width)
+    rows_of = _matrix(sample.column("v"), width) if sample.num_rows else np.eye(width)
+    # The right singular vectors of the sample are those of its Gram matrix, which is only width x width.
+    turn = np.linalg.svd(rows_of.T @ rows_of)[0]
     bins = min(MAX_BINS, math.ceil(n / BLOCK_ROWS))
     bounds = held.approxQuantile("norm", [1 - (b + 1) / bins for b in range(bins - 1)], 1e-3) if bins > 1 else []
     longer = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b > F.col("norm"))) if bounds else F.lit(0)
