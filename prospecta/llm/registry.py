@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import langid, pii, simhash, tokenfile, topk, toxicity, warc
+from prospecta.llm import langid, linededup, pii, simhash, tokenfile, topk, toxicity, warc
 from prospecta.llm.heldout import held_out
 
 
@@ -33,6 +33,11 @@ def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(docs, key=PII_KEY, count_col="n_mentions")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs, count_col="n_removed")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +60,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op7_token_files, op8_toxicity, op9_top_products, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op5_line_dedup, op7_token_files, op8_toxicity, op9_top_products, op10_simhash_components,)}
 
 
 _WARC_SQL = """
