@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import langid, linededup, pii, simhash, tokenfile, topk, toxicity, warc
+from prospecta.llm import decontaminate, langid, linededup, pii, simhash, tokenfile, topk, toxicity, warc
 from prospecta.llm.heldout import held_out
 
 
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_regions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_warc(_table(spark, sf_dir, "pages"))
     found = warc.read_warc(spark, folder, with_payload=False)
@@ -60,7 +65,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op3_warc_archives, op4_pii_surrogates, op5_line_dedup, op7_token_files, op8_toxicity, op9_top_products, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_warc_archives, op4_pii_surrogates, op5_line_dedup, op7_token_files, op8_toxicity, op9_top_products, op10_simhash_components,)}
 
 
 _WARC_SQL = """
