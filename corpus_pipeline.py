@@ -1,13 +1,69 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, SentencePiece ids.
+
+Each stage gets all rows that its predecessor kept, as a table with the columns of ``documents``. Stages
+that filter keep a row as it is or drop it; line dedup changes ``text`` and ``n_chars`` only. SQL can
+express none of the first stages' models, so ORACLE_SQL is None and the tests compare run() with brute force.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prospecta.llm import decontaminate, langid, linededup, sentencepieces, simhash
+from prospecta.llm.cluster import scratch
+
+#: A language is accepted from this posterior probability on.
+LEAST_SCORE = 0.5
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir: str):
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is recognised: those with a letter and a posterior of LEAST_SCORE or more."""
+    return langid.recognised(docs, langid.train(docs), LEAST_SCORE)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove every line that matches an earlier line of the corpus; all documents stay."""
+    kept = linededup.dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each SimHash component."""
+    found = simhash.simhash_components(docs)
+    heads = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
+    return docs.join(heads, docs.doc_id.eqNullSafe(heads.id), "left_semi")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents with a region that a benchmark item contaminates."""
+    found = decontaminate.find_regions(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("id").distinct(), docs.doc_id.eqNullSafe(F.col("id")), "left_anti")
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text: doc_id, ids, n_ids and whether they decode to the text."""
+    import public_tokenizers
+
+    found = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "ids", F.size("ids").alias("n_ids"), "round_trip")
+
+
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_copies", near_copies),
+    ("uncontaminated", uncontaminated),
+    ("pieces", pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each one's table is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        out = scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return STAGES[-1][1](spark, docs, sf_dir)

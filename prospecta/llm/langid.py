@@ -70,8 +70,8 @@ def features(texts: list[str], orders=ORDERS, buckets: int = BUCKETS) -> tuple[n
     return ids[fits], counts, lettered
 
 
-def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", orders=ORDERS, buckets=BUCKETS, bound=TRAIN_DOCS):
-    """(languages, log-probability matrix [buckets, languages], log priors), from rows that are not held out."""
+def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", bound=TRAIN_DOCS):
+    """(languages, log-probability matrix [BUCKETS, languages], log priors), from rows that are not held out."""
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     taught = taught.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     taught = bounded_sample(taught, bound, "i")
@@ -81,12 +81,12 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", or
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for at, texts in row_blocks(batch.column(0)):
-                ids, sizes, _ = features(texts, orders, buckets)
+                ids, sizes, _ = features(texts, ORDERS, BUCKETS)
                 ends = np.cumsum(sizes)
                 for k, lang in enumerate(langs[at : at + len(texts)]):
-                    own = sums.setdefault(lang, np.zeros(buckets + 1, np.int64))
-                    own[:buckets] += np.bincount(ids[ends[k] - sizes[k] : ends[k]], minlength=buckets)
-                    own[buckets] += 1
+                    own = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                    own[:BUCKETS] += np.bincount(ids[ends[k] - sizes[k] : ends[k]], minlength=BUCKETS)
+                    own[BUCKETS] += 1
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at])], ["l", "f", "n"])
@@ -94,48 +94,70 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", or
     sums = taught.select("t", "l").mapInArrow(count, "l string, f long, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     lang, f, n = found.column("l").to_pylist(), np.asarray(found.column("f")), np.asarray(found.column("n"))
-    seen = {x: int(c) for x, c, b in zip(lang, n, f, strict=True) if b == buckets}
+    seen = {x: int(c) for x, c, b in zip(lang, n, f, strict=True) if b == BUCKETS}
     names = sorted(sorted(seen, key=lambda x: (-seen[x], x))[:MAX_LANGUAGES])
     if not names:
-        return [], np.zeros((buckets, 0), np.float32), np.zeros(0)
-    counts, at = np.zeros((buckets + 1, len(names))), {x: k for k, x in enumerate(names)}
+        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
+    counts, at = np.zeros((BUCKETS + 1, len(names))), {x: k for k, x in enumerate(names)}
     column = np.array([at.get(x, -1) for x in lang])
     counts[f[column >= 0], column[column >= 0]] = n[column >= 0]
-    docs_of, counts = counts[buckets], counts[:buckets] + SMOOTHING
+    docs_of, counts = counts[BUCKETS], counts[:BUCKETS] + SMOOTHING
     return names, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(docs_of / docs_of.sum())
 
 
-def predict(docs: DataFrame, model, id_col="doc_id", text_col="text", orders=ORDERS, buckets=BUCKETS) -> DataFrame:
+def _scorer(shared, orders=ORDERS, buckets=BUCKETS):
+    """A function from a column of texts to (languages, scores), for workers."""
+
+    def scored(column: pa.Array) -> tuple[list[str], list[float]]:
+        names, matrix, prior = shared.value
+        langs, scores = [], []
+        for _, texts in row_blocks(column):
+            ids, sizes, lettered = features(texts, orders, buckets)
+            if not names:
+                langs += [UNKNOWN] * len(texts)
+                scores += [0.0] * len(texts)
+                continue
+            total = np.tile(prior, (len(texts), 1))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                starts = (np.cumsum(sizes) - sizes)[some]
+                for k in range(len(names)):
+                    total[some, k] += np.add.reduceat(matrix[:, k][ids], starts, dtype=np.float64)
+            best = total.argmax(axis=1)
+            odds = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            langs += [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
+            scores += np.where(lettered, odds, 0.0).tolist()
+        return langs, scores
+
+    return scored
+
+
+def predict(docs: DataFrame, model, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, lang_pred, score) of every row; score is the posterior probability of the predicted language."""
-    names, matrix, prior = model
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix, prior))
+    scored = _scorer(docs.sparkSession.sparkContext.broadcast(model))
 
     def run(batches):
-        names, matrix, prior = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for _, texts in row_blocks(batch.column(1)):
-                ids, sizes, lettered = features(texts, orders, buckets)
-                total = np.tile(prior, (len(texts), 1))
-                some = np.flatnonzero(sizes)
-                if len(some) and names:
-                    starts = (np.cumsum(sizes) - sizes)[some]
-                    for k in range(len(names)):
-                        total[some, k] += np.add.reduceat(matrix[:, k][ids], starts, dtype=np.float64)
-                if names:
-                    best = total.argmax(axis=1)
-                    odds = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    langs += [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-                    scores += np.where(lettered, odds, 0.0).tolist()
-                else:
-                    langs += [UNKNOWN] * len(texts)
-                    scores += [0.0] * len(texts)
+            langs, scores = scored(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model, least: float, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs`` whose language is predicted with a score of ``least`` or more, all columns as they are."""
+    schema, at = docs.schema, docs.columns.index(text_col)
+    scored = _scorer(docs.sparkSession.sparkContext.broadcast(model))
+
+    def run(batches):
+        for batch in batches:
+            langs, scores = scored(batch.column(at).cast(pa.string()))
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
     """Learn from the labelled rows of ``docs`` that are not held out, then predict every row."""
     return predict(docs, train(docs, id_col, text_col, lang_col), id_col, text_col)

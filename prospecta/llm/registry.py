@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospecta.llm import decontaminate, langid, linededup, pii, simhash, tokenfile, topk, toxicity, warc
+from prospecta.llm import decontaminate, langid, linededup, pii, sentencepieces, simhash, tokenfile, topk, toxicity, warc
 from prospecta.llm.heldout import held_out
 
 
@@ -43,6 +43,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs, count_col="n_removed")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = sentencepieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), F.size("ids").alias("n_ids"), "round_trip", "ids")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +72,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_warc_archives, op4_pii_surrogates, op5_line_dedup, op7_token_files, op8_toxicity, op9_top_products, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_warc_archives, op4_pii_surrogates, op5_line_dedup, op6_sentencepiece, op7_token_files, op8_toxicity, op9_top_products, op10_simhash_components,)}
 
 
 _WARC_SQL = """
