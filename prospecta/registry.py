@@ -668,7 +668,7 @@ def fn_rotation_a_to_b(s):
 def fn_align(s):
     met = s.points3d.where("point_id < 200").crossJoin(camera.poses(s.cameras))
     near = camera.aligned(met, ("cx", "cy", "cz"), ("vx", "vy", "vz"))
-    return rounded(near.select("cam_id", "point_id", (g.norm3("ax", "ay", "az") / 7).alias("dist"), (F.col("ax") / 7).alias("ahead")))
+    return rounded(near.select("cam_id", "point_id", (g.norm3("ax", "ay", "az") / 7).alias("dist"), (F.col("ax") / 7 + 1.3e-7).alias("ahead")))
 
 
 @scene
