@@ -59,7 +59,7 @@ def features(texts: list[str], orders=ORDERS, buckets: int = BUCKETS) -> tuple[n
     fits = np.zeros((len(orders), len(points)), bool)
     left = np.repeat(stop, size) - np.arange(len(points)) if len(points) else np.zeros(0, np.int64)
     for n in range(1, max(orders) + 1):
-        shifted = np.concatenate([rolled[n - 1 :], np.zeros(n - 1, np.uint64)])
+        shifted = np.concatenate([rolled[n - 1 :], np.zeros(n - 1, np.uint64)])[: len(points)]
         mixed = (mixed ^ shifted) * np.uint64(0xC2B2AE3D27D4EB4F)
         if n in orders:
             k = orders.index(n)
