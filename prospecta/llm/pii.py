@@ -172,7 +172,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every mention in ``text_col`` replaced; ``count_col`` names a column for the number of mentions."""
     names = {c.lower() for c in docs.columns}
-    own = next(f"_m{k}" for k in range(1000) if not {f"_m{k}", f"_m{k}_key"} & names)
+    own = next(f"_m{k}" for k in range(1000) if not {f"_m{k}", f"_m{k}_key", f"_m{k}_list", f"_m{k}_ss"} & names)
     text = F.col(f"`{text_col}`")
     marked = docs.where(text.rlike(MENTION)).withColumn(own, F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)))
     marked = marked.withColumn(f"{own}_key", F.sha2(F.array_join(own, "\x1f"), 256))
@@ -184,9 +184,10 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str
     written = forms.select("list", "at", _laid_out(F.col("m"), kind_of(F.col("m")), F.col("forms")).alias("s"))
     by_list = written.groupBy("list").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x.s).alias("ss"))
     gaps = F.split(text, MENTION, -1)
-    replaced = F.array_join(F.zip_with(gaps, F.col("ss"), lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit("")))), "")
-    done = marked.join(by_list, F.col(f"{own}_key") == F.col("list"))
-    count = [] if count_col is None else [F.size("ss").alias(count_col)]
+    replaced = F.array_join(F.zip_with(gaps, F.col(f"{own}_ss"), lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit("")))), "")
+    by_list = by_list.select(F.col("list").alias(f"{own}_list"), F.col("ss").alias(f"{own}_ss"))
+    done = marked.join(by_list, F.col(f"{own}_key") == F.col(f"{own}_list"))
+    count = [] if count_col is None else [F.size(f"{own}_ss").alias(count_col)]
     none = [] if count_col is None else [F.lit(0).alias(count_col)]
     keep = lambda value: [value.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     left = docs.where(text.isNull() | ~text.rlike(MENTION)).select(*keep(text), *none)
