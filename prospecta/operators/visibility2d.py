@@ -185,9 +185,9 @@ KERNELS = {"corner": corner, "discretized": discretized, "segments_angle": segme
 def boundary_samples(segments: DataFrame, step: float | None = None, samples_per_segment: int = 1, include_endpoints: bool = False) -> DataFrame:
     """(origin_id, ox, oy): points along the segments, distinct after rounding to 12 places, numbered in (x, y) order."""
     if step is not None and step <= 0:
-        raise ValueError("step should be greater than zero.")
+        raise ValueError("step must be positive.")
     if samples_per_segment <= 0:
-        raise ValueError("samples_per_segment should be greater than zero.")
+        raise ValueError("samples_per_segment must be positive.")
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     length = F.sqrt(ex * ex + ey * ey)
     count = F.lit(samples_per_segment) if step is None else F.greatest(F.ceil(length / step), F.lit(1)).cast("int")

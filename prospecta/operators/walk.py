@@ -39,7 +39,7 @@ def sample_in_union(spark: SparkSession, rects: DataFrame, n: int, seed: int) ->
     order = Window.orderBy("rect_id")
     shares = area_shares(rects)
     if not (shares.agg(F.sum("area")).first()[0] or 0) > 0:
-        raise ValueError("Total area is zero; check rectangle bounds.")
+        raise ValueError("the rectangles have no area.")
     upto = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))
     steps = shares.where("area > 0").select("rect_id", (upto - F.col("share")).alias("lo"), upto.alias("hi"), F.max("rect_id").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last"))
     bands = rects.join(steps, "rect_id").withColumn("hi", F.when(F.col("rect_id") == F.col("last"), 2.0).otherwise(F.col("hi")))
@@ -52,7 +52,7 @@ def walk_from_noise(noise: DataFrame, rects: DataFrame, start: tuple[float, floa
     """Walks whose noise is data (walk_id, step, n_theta, n_step, n_bounce, n_view): a fold over each walk's steps."""
     corners = rects.collect()
     if not any(r["xmin"] <= start[0] <= r["xmax"] and r["ymin"] <= start[1] <= r["ymax"] for r in corners):
-        raise ValueError("start_xy must be inside the union.")
+        raise ValueError("the start lies outside the rectangles.")
     state = F.struct(F.lit(float(start[0])).alias("x"), F.lit(float(start[1])).alias("y"), F.lit(float(theta0)).alias("th"), F.lit(float(theta0)).alias("yaw"))
     record = "array<struct<step:int,x:double,y:double,yaw:double>>"
 
@@ -86,7 +86,7 @@ def heading_walk(start, rects, rng: np.random.Generator, n_steps=300, step=0.1,
     within = lambda x, y: bool(((box[:, 0] <= x) & (x <= box[:, 2]) & (box[:, 1] <= y) & (y <= box[:, 3])).any())
     x, y = map(float, start)
     if not within(x, y):
-        raise ValueError("start_xy must be inside the union.")
+        raise ValueError("the start lies outside the rectangles.")
     heading = yaw = rng.uniform(0, 2 * math.pi)
     out = []
     for i in range(n_steps):
