@@ -21,12 +21,12 @@ def directions(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("dir_id")).select("dir_id", x.alias("dx"), y.alias("dy"), z.alias("dz"))
 
 
-def in_frustum(dirs: DataFrame, view: tuple, fov: tuple[float, float]) -> DataFrame:
-    """The directions in front of the camera within half the fields of view either way."""
+def in_frustum(dirs: DataFrame, view: tuple, fov: tuple[float, float], margin: float = 0.0) -> DataFrame:
+    """The directions in front of the camera within half the fields of view, less a margin, either way."""
     right, up, forward = g.camera_basis(view)
     dot = lambda v: F.col("dx") * v[0] + F.col("dy") * v[1] + F.col("dz") * v[2]
     x, y, z = dot(right), dot(up), dot(forward)
-    return dirs.where((z > 0) & (F.abs(F.atan2(x, z)) <= fov[0] / 2) & (F.abs(F.atan2(y, z)) <= fov[1] / 2))
+    return dirs.where((z > 0) & (F.abs(F.atan2(x, z)) <= fov[0] / 2 - margin) & (F.abs(F.atan2(y, z)) <= fov[1] / 2 - margin))
 
 
 def points_in_range(points: DataFrame, origin: tuple, nearest: float, farthest: float) -> DataFrame:
@@ -36,26 +36,44 @@ def points_in_range(points: DataFrame, origin: tuple, nearest: float, farthest:
     return out.withColumns({u: F.col(r) / (F.col("dist") + 1e-5) for u, r in (("ux", "rx"), ("uy", "ry"), ("uz", "rz"))})
 
 
-def nearest_direction(points: DataFrame, dirs: DataFrame, n: int, whole: bool) -> DataFrame:
-    """``points`` with the nearest retained direction, the smallest id on ties.
+def _dot() -> Column:
+    return F.col("ux") * F.col("dx") + F.col("uy") * F.col("dy") + F.col("uz") * F.col("dz")
 
-    The lattice descends evenly in z, so with all n directions kept the candidates of a point are a window of ids
-    around its own height: an equi-join on bands of ids. A masked lattice is compared in full; it has
-    at most n rows, a parameter, which bounds what is broadcast.
+
+def _best(met: DataFrame) -> DataFrame:
+    best = met.groupBy("point_id").agg(F.max(F.struct(_dot().alias("dot"), (-F.col("dir_id")).alias("id"))).alias("best"))
+    return best.select("point_id", (-F.col("best.id")).alias("dir_id"))
+
+
+def nearest_direction(points: DataFrame, n: int, view: tuple | None = None, fov: tuple[float, float] | None = None) -> DataFrame:
+    """``points`` with the nearest retained of the n directions, the smallest id on ties.
+
+    The lattice descends evenly in z, so a point's candidates are a window of ids around its own height: an
+    equi-join on bands of ids. If the nearest of all directions is not retained, the point lies outside the view pyramid or
+    beside its edge, and the nearest retained one is close to the edge: within a few lattice steps of it,
+    about sqrt(n) directions, which is what is broadcast for those points.
     """
-    dot = F.col("ux") * F.col("dx") + F.col("uy") * F.col("dy") + F.col("uz") * F.col("dz")
-    best = F.max(F.struct(dot.alias("dot"), (-F.col("dir_id")).alias("id")))
-    if whole:
-        width = max(1, math.ceil(WINDOW * math.sqrt(n)))
-        own = F.floor((1 - F.col("uz")) * n / 2 / width).cast("int")
-        banded = points.withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
-        met = banded.join(dirs.withColumn("band", F.floor(F.col("dir_id") / width).cast("int")), "band")
-    else:
-        met = points.crossJoin(F.broadcast(dirs))
-    found = met.groupBy("point_id").agg(best.alias("best")).select("point_id", (-F.col("best.id")).alias("dir_id"))
+    dirs = directions(points.sparkSession, n)
+    width = max(1, math.ceil(WINDOW * math.sqrt(n)))
+    own = F.floor((1 - F.col("uz")) * n / 2 / width).cast("int")
+    slim = points.select("point_id", "ux", "uy", "uz")
+    banded = slim.withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
+    found = _best(banded.join(dirs.withColumn("band", F.floor(F.col("dir_id") / width).cast("int")), "band"))
+    if view is not None:
+        kept = in_frustum(dirs, view, fov)
+        inner = in_frustum(dirs, view, fov, 4 * math.sqrt(4 * math.pi / n))
+        edge = kept.join(inner.select("dir_id"), "dir_id", "left_anti")
+        inside = found.join(F.broadcast(kept.select("dir_id")), "dir_id", "left_semi").select("point_id", "dir_id")
+        outside = slim.join(inside, "point_id", "left_anti")
+        found = inside.unionByName(_best(outside.crossJoin(F.broadcast(edge))))
     return points.join(found, "point_id")
 
 
+def nearest_direction_plain(points: DataFrame, dirs: DataFrame) -> DataFrame:
+    """The same by comparing every point with every direction of ``dirs``; for checks."""
+    return points.join(_best(points.select("point_id", "ux", "uy", "uz").crossJoin(dirs)), "point_id")
+
+
 def bin_minimum(dirs: DataFrame, assigned: DataFrame) -> DataFrame:
     """(dir_id, dx, dy, dz, dist): the nearest point of each direction, 1e5 where there is none."""
     low = assigned.groupBy("dir_id").agg(F.min("dist").alias("low"))
@@ -93,7 +111,7 @@ def spherical_bins(points: DataFrame, origin, *, nearest=0.0, farthest=40.0, n=1
     seen = points_in_range(points, origin, nearest, farthest)
     if clip_to_frustum and view_dir is not None:
         seen = in_frustum(seen.withColumns({"dx": F.col("ux"), "dy": F.col("uy"), "dz": F.col("uz")}), view_dir, fov).drop("dx", "dy", "dz")
-    bins = bin_minimum(kept, nearest_direction(seen, kept, n, view_dir is None))
+    bins = bin_minimum(kept, nearest_direction(seen, n, view_dir, fov))
     if heightlims is not None:
         bins = bins.withColumn("dist", g.height_clip("dist", "dz", heightlims[0] - origin[2], heightlims[1] - origin[2]))
     return unknown(bins, farthest, max_unknown)

@@ -70,7 +70,7 @@ class Scene:
         return space3d.points_in_range(self.points3d, EYE, 0, RANGE)
 
     def bins(self):
-        return space3d.bin_minimum(self.dirs(), space3d.nearest_direction(self.seen3d(), self.dirs(), DIRS, True))
+        return space3d.bin_minimum(self.dirs(), space3d.nearest_direction(self.seen3d(), DIRS))
 
     def known(self):
         return space3d.spherical_bins(self.points3d, EYE, farthest=RANGE, n=DIRS)
@@ -341,12 +341,12 @@ def nearest_ray_2d(s):
 
 @scene
 def nearest_dir_3d(s):
-    return space3d.nearest_direction(s.seen3d(), s.dirs(), DIRS, True).select("point_id", "dir_id")
+    return space3d.nearest_direction(s.seen3d(), DIRS).select("point_id", "dir_id")
 
 
 @scene
 def nearest_dir_frustum(s):
-    return space3d.nearest_direction(s.seen3d(), s.frustum(), DIRS, False).select("point_id", "dir_id")
+    return space3d.nearest_direction(s.seen3d(), DIRS, VIEW, FOV).select("point_id", "dir_id")
 
 
 @scene

@@ -138,8 +138,10 @@ def test_banded_directions_equal_brute_force(spark):
     points = cloud(spark, rng.normal(size=(300, 3)) * 3)
     dirs = space3d.directions(spark, 500)
     seen = space3d.points_in_range(points, (0, 0, 0), 0, 100)
-    fast = space3d.nearest_direction(seen, dirs, 500, True).select("point_id", "dir_id")
-    assert sorted(fast.collect()) == sorted(space3d.nearest_direction(seen, dirs, 500, False).select("point_id", "dir_id").collect())
+    for view, fov in ((None, None), ((0.2, -1.0, 0.4), (1.2, 0.7)), ((0.0, 0.0, 1.0), (0.5, 2.0))):
+        kept = dirs if view is None else space3d.in_frustum(dirs, view, fov)
+        fast = space3d.nearest_direction(seen, 500, view, fov).select("point_id", "dir_id")
+        assert sorted(fast.collect()) == sorted(space3d.nearest_direction_plain(seen, kept).select("point_id", "dir_id").collect())
 
 
 def test_hull_and_spline():
