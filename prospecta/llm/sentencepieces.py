@@ -31,7 +31,7 @@ from prospecta.llm.textblocks import UnitTable, row_blocks
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-SPACE, BLOCK, LONG_UNIT = "▁", 4 << 20, 1000
+SPACE, BLOCK, LONG_UNIT = "▁", 2 << 20, 1000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -116,7 +116,7 @@ class Encoder:
         self.scores = scores
         self.pattern = unit_pattern([m.pieces[i] for i in usable], list(self.fixed))
         self.texts = [self._surface(i) for i in range(len(m.pieces))]
-        self.table = UnitTable(self._units, np.int32, limit=500_000)
+        self.table = UnitTable(self._units, np.int32, limit=250_000)
 
     def _surface(self, i: int) -> bytes:
         kind, piece = self.model.kinds[i], self.model.pieces[i]
