@@ -72,6 +72,8 @@ def search_block(q_id, queries, floor, ids, vectors, norms, turn, k: int) -> tup
     q_norm = np.sqrt((queries * queries).sum(axis=1))
     rest = lambda x: np.sqrt(np.maximum((x[:, lead:] ** 2).sum(axis=1), 0))
     q_rest, v_rest = rest(q_turned), rest(v_turned)
+    # Whole numbers whose products stay below 2^53 are exact in doubles.
+    small = not len(ids) or not len(queries) or np.abs(queries).max() * np.abs(vectors).max() * queries.shape[1] < 2.0**53
     low, low_id = floor.astype(np.float64).copy(), np.full(len(queries), np.iinfo(np.int64).max)
     best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
     for at in range(0, len(ids), SLICE):
@@ -82,10 +84,15 @@ def search_block(q_id, queries, floor, ids, vectors, norms, turn, k: int) -> tup
         bound = q_turned[alive, :lead] @ v_turned[part, :lead].T + q_rest[alive, None] * v_rest[None, part]
         slack = 1 + 1e-9 * q_norm[alive, None] * norms[None, part]
         i, j = np.nonzero(bound + slack >= low[alive, None])
+        if small and len(i) > bound.size // 32:
+            # Many pairs are left: one product of the two blocks costs less than gathering their rows.
+            score = (queries[alive] @ vectors[part].T)[i, j].astype(np.int64)
+        else:
+            pairs = [(alive[i[s : s + 65536]], j[s : s + 65536] + at) for s in range(0, len(i), 65536)]
+            score = np.concatenate([_exact(queries[a], vectors[b]) for a, b in pairs] or [np.empty(0, np.int64)])
         i, j = alive[i], j + at
         other = ids[j] != q_id[i]
-        i, j = i[other], j[other]
-        score = np.concatenate([_exact(queries[i[s : s + 65536]], vectors[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.empty(0, np.int64)])
+        i, j, score = i[other], j[other], score[other]
         keep = (score > low[i]) | ((score == low[i]) & (ids[j] < low_id[i]))
         i = np.concatenate([best[0], i[keep]])
         found, score = np.concatenate([best[1], ids[j[keep]]]), np.concatenate([best[2], score[keep]])
