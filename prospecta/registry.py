@@ -796,7 +796,7 @@ def walk_job(s):
 
 @scene
 def sink_metrics_csv(s):
-    metrics, _ = jobs.slice_job(s.points3d, s.cameras.where("cam_id < 2"), CAMERA, dirs=DIRS, farthest=RANGE)
+    metrics, _ = jobs.slice_job(s.points3d, s.cameras, CAMERA, dirs=DIRS, farthest=RANGE)
     path = writers.scratch(s.spark, "metrics")
     writers.save_metrics(metrics.withColumn("img", F.concat(F.lit("DSC_0"), "cam_id")), path)
     return rounded(s.spark.read.csv(path, header=True, inferSchema=True))
@@ -804,7 +804,7 @@ def sink_metrics_csv(s):
 
 @scene
 def sink_graph(s):
-    nodes, edges = graphs.graph_origin_last(_coloured(s), s.knn_edges())
+    nodes, edges = graphs.graph_origin_last(s.points3d, graphs.knn_graph(s.points3d, 3))
     path = writers.scratch(s.spark, "graph")
     writers.save_graph(nodes.withColumn("graph_id", F.lit(1)), edges.withColumn("graph_id", F.lit(1)), path)
     return s.spark.read.parquet(f"{path}/edges")

@@ -245,3 +245,22 @@ def test_streamed_origins(spark, tmp_path):
     stream = spark.readStream.schema("origin_id long, ox double, oy double").parquet(str(tmp_path / "in"))
     stream_areas(stream, workflow.as_segments(spark, SQUARE), 30.0, 90, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_sinks_hold_the_whole_tables(spark):
+    from prospecta import registry
+    from prospecta.fixtures import fixture
+
+    sf = "/root/testdata/sf0.001"
+    rows = fixture(spark, sf, "fx_points3d").orderBy("point_id").collect()
+    at = np.array([(r.x, r.y, r.z) for r in rows])
+    n, pairs = len(rows), set()
+    for i in range(n):
+        d = np.sqrt(((at - at[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        pairs |= {(i, int(j)) for j in np.lexsort((np.arange(n), d))[:3]}
+    want = pairs | {(b, a) for a, b in pairs} | {(n, i) for i in range(n)} | {(i, n) for i in range(n)}
+    got = [(r.src, r.dst) for r in registry.queries()["sink_graph"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
+    cameras = {f"DSC_0{r.cam_id}" for r in fixture(spark, sf, "fx_cameras").collect()}
+    assert {r.img for r in registry.queries()["sink_metrics_csv"](spark, sf).collect()} == cameras
