@@ -19,8 +19,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is recognised: those with a letter and a posterior of LEAST_SCORE or more."""
-    return langid.recognised(docs, langid.train(docs), LEAST_SCORE)
+    """Keep the documents whose language is recognised: with a letter, a posterior of LEAST_SCORE or more and n-grams likely in that language."""
+    model, spread = langid.train_with_spread(docs)
+    return langid.recognised(docs, model, LEAST_SCORE, spread)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

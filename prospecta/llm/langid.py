@@ -27,6 +27,9 @@ TRAIN_DOCS = 20_000
 #: At most so many languages, the most frequent ones, become classes; this bounds the matrix.
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
+#: How many deviations of its language's training n-grams a text's mean may lie below theirs: so many, and so many over the
+#: root of its n-grams (each character is in five n-grams, so 10 is about 4.5 standard errors).
+FLOOR_SPREADS, FLOOR_ERRORS = 1.25, 10.0
 
 
 @functools.cache
@@ -72,6 +75,11 @@ def features(texts: list[str], orders=ORDERS, buckets: int = BUCKETS) -> tuple[n
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", bound=TRAIN_DOCS):
     """(languages, log-probability matrix [BUCKETS, languages], log priors), from rows that are not held out."""
+    return train_with_spread(docs, id_col, text_col, lang_col, bound)[0]
+
+
+def train_with_spread(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", bound=TRAIN_DOCS):
+    """(the model of train(), (mean, deviation) of the log-probabilities of each language's training n-grams)."""
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     taught = taught.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     taught = bounded_sample(taught, bound, "i")
@@ -97,16 +105,21 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", bo
     seen = {x: int(c) for x, c, b in zip(lang, n, f, strict=True) if b == BUCKETS}
     names = sorted(sorted(seen, key=lambda x: (-seen[x], x))[:MAX_LANGUAGES])
     if not names:
-        return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
+        return ([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)), (np.zeros(0), np.zeros(0))
     counts, at = np.zeros((BUCKETS + 1, len(names))), {x: k for k, x in enumerate(names)}
     column = np.array([at.get(x, -1) for x in lang])
     counts[f[column >= 0], column[column >= 0]] = n[column >= 0]
-    docs_of, counts = counts[BUCKETS], counts[:BUCKETS] + SMOOTHING
-    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(docs_of / docs_of.sum())
+    docs_of, own = counts[BUCKETS], counts[:BUCKETS]
+    smooth = own + SMOOTHING
+    matrix = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)
+    share = own / np.maximum(own.sum(axis=0), 1)
+    mean = (share * matrix).sum(axis=0)
+    spread = np.sqrt((share * (matrix - mean) ** 2).sum(axis=0))
+    return (names, matrix, np.log(docs_of / docs_of.sum())), (mean, spread)
 
 
-def _scorer(shared, orders=ORDERS, buckets=BUCKETS):
-    """A function from a column of texts to (languages, scores), for workers."""
+def _scorer(shared, orders=ORDERS, buckets=BUCKETS, spread=None):
+    """A function from a column of texts to (languages, scores), for workers; with ``spread``, unlikely texts are UNKNOWN."""
 
     def scored(column: pa.Array) -> tuple[list[str], list[float]]:
         names, matrix, prior = shared.value
@@ -125,6 +138,10 @@ def _scorer(shared, orders=ORDERS, buckets=BUCKETS):
                     total[some, k] += np.add.reduceat(matrix[:, k][ids], starts, dtype=np.float64)
             best = total.argmax(axis=1)
             odds = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            if spread is not None and len(some):
+                mean, deviation = (x[best[some]] for x in spread)
+                per_gram = (total[some, best[some]] - prior[best[some]]) / sizes[some]
+                lettered[some] &= per_gram >= mean - deviation * (FLOOR_SPREADS + FLOOR_ERRORS / np.sqrt(sizes[some]))
             langs += [names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
             scores += np.where(lettered, odds, 0.0).tolist()
         return langs, scores
@@ -145,10 +162,13 @@ def predict(docs: DataFrame, model, id_col="doc_id", text_col="text") -> DataFra
     return rows.mapInArrow(run, "id long, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model, least: float, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of ``docs`` whose language is predicted with a score of ``least`` or more, all columns as they are."""
+def recognised(docs: DataFrame, model, least: float, spread, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of ``docs`` whose language is predicted with a score of ``least`` or more and that are likely in it, all columns as they are.
+
+    ``model`` and ``spread`` come from train_with_spread().
+    """
     schema, at = docs.schema, docs.columns.index(text_col)
-    scored = _scorer(docs.sparkSession.sparkContext.broadcast(model))
+    scored = _scorer(docs.sparkSession.sparkContext.broadcast(model), spread=spread)
 
     def run(batches):
         for batch in batches:

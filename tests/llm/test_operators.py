@@ -501,3 +501,25 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in clean.collect()} == set(want.values()) - bad
     final = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(final) == set(want.values()) - bad and all(r.round_trip and r.n_ids == len(r.ids) for r in final.values())
+
+
+def test_language_stage_drops_what_no_learned_language_explains(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    letters, hexes = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    planted = [
+        "Сегодня утром мы пошли в лес собирать грибы и ягоды, потому что погода была хорошая.",
+        "今天早上我们去森林里采蘑菇和浆果，因为天气很好。",
+        "Dziś rano poszliśmy do lasu zbierać grzyby i jagody, ponieważ pogoda była ładna.",
+        *("".join(rng.choices(hexes, k=400)) for _ in range(20)),
+        *(" ".join("".join(rng.choices(hexes, k=8)) for _ in range(50)) for _ in range(20)),
+        *("".join(rng.choices(letters, k=300)) for _ in range(50)),
+        *(" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(50)) for _ in range(50)),
+    ]
+    rows = [(10**6 + i, t, None, "planted", len(t)) for i, t in enumerate(planted)]
+    for sf in (SF, "/root/testdata/sf0.01"):
+        own = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+        kept = corpus_pipeline.language(spark, own.unionByName(spark.createDataFrame(rows, DOCS)), sf)
+        ids = {r.doc_id for r in kept.select("doc_id").collect()}
+        assert ids == {r.doc_id for r in own.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
