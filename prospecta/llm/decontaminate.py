@@ -7,6 +7,10 @@ the item, all on diagonals (document position less item position) that differ by
 counted in bands of 2 (k + 1) diagonals that overlap by half, so that one band holds them all; bands that reach the bound are verified by an alignment
 confined to their diagonals, whose end points give the region.
 
+Of an item of more than WINDOW characters a part is enough: WINDOW consecutive characters of it within floor(EDIT_SHARE * WINDOW)
+edits, found by the same count over every window's q-grams. A region of a part goes on to where its edits are farthest below
+the share; it is left out where it overlaps a region of the same item that was found before. Its edits are those of the part.
+
 The items go to the workers in shards of at most SHARD_CHARS characters, one pass over the documents for each shard.
 
 Defined results: null and empty texts and items match nothing, nor do items of fewer than MIN_CHARS
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from prospecta.llm.textblocks import row_blocks
 
 Q, EDIT_SHARE, MIN_CHARS, SHARD_CHARS = 8, 0.08, 24, 4_000_000
+#: So many consecutive characters of a longer item are evidence.
+WINDOW = 110
 _BITS = 20
 _FAR = 1 << 40
 
@@ -85,6 +91,8 @@ class Items:
         self.points = [points[place[i] : place[i + 1]] for i in long]
         self.m = np.array([len(p) for p in self.points], np.int64)
         self.k, self.need = bound(self.m)
+        self.part_k, self.part_bound = bound(WINDOW)
+        self.part_need = np.where(self.m > WINDOW, self.part_bound, self.need)
         grams = [gram_hashes(p) for p in self.points]
         h = np.concatenate(grams or [np.empty(0, np.uint64)])
         order = np.argsort(h, kind="stable")
@@ -114,20 +122,38 @@ class Items:
         at, item, pos = self.hits(points)
         doc = np.searchsorted(place, at, side="right") - 1
         inside = at + Q <= place[doc + 1]
+        at, item, pos, doc = (x[inside] for x in (at, item, pos, doc))
         pair = doc * len(self.ids) + item
-        # An item's hits in a whole text are counted first; few pairs reach the bound even so.
-        keys, back, counts = np.unique(pair[inside], return_inverse=True, return_counts=True)
-        enough = (counts >= self.need[keys % len(self.ids)])[back]
-        at, item, pos, doc = (x[inside][enough] for x in (at, item, pos, doc))
+        # An item's hits in a whole text are counted first; few pairs reach a bound even so.
+        keys, back, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = (counts >= np.minimum(self.need, self.part_need)[keys % len(self.ids)])[back]
+        at, item, pos, doc = (x[enough] for x in (at, item, pos, doc))
         if not len(at):
             return []
-        step = self.k[item] + 1
-        band = (at - place[doc] - pos + self.m[item]) // step
+        found = {}
+        for d, i, low, high in self.bands(at - place[doc] - pos, item, doc, self.k):
+            got = align(self.points[i], points[place[d] : place[d + 1]], low, high, int(self.k[i]))
+            if got is not None:
+                edits, start, stop = got
+                span = (d, i, *self.original(texts[d], origin, place[d], start, stop))
+                found[span] = min(edits, found.get(span, edits))
+        parts = self.part_regions(at, item, pos, doc, points, place, texts, origin, found)
+        return [(*span, edits) for span, edits in sorted((found | parts).items())]
+
+    @staticmethod
+    def original(text: str, origin: np.ndarray, begin: int, start: int, stop: int) -> tuple[int, int]:
+        """Offsets in the original text of a stretch of its normal form."""
+        base = origin[begin]
+        return max(0, int(origin[begin + start] - base - 1)), min(len(text), int(origin[begin + stop - 1] - base))
+
+    def bands(self, diagonal, item, doc, k, need=None):
+        """(text, item, lowest, highest diagonal) of the bands with enough hits; of neighbouring bands two make one."""
+        need = self.need if need is None else need
+        band = (diagonal + self.m[item]) // (k[item] + 1)
         width = int(band.max()) + 2
         keys = np.concatenate([((doc * len(self.ids) + item) * width + band + one) for one in (0, 1)])
         keys, counts = np.unique(keys, return_counts=True)
-        keys = keys[counts >= self.need[keys // width % len(self.ids)]]
-        found = {}
+        keys = keys[counts >= need[keys // width % len(self.ids)]]
         # Two neighbouring bands hold one region as a rule; they are aligned as one.
         first = np.ones(len(keys), bool)
         for j in range(1, len(keys)):
@@ -136,15 +162,84 @@ class Items:
         for key, more in zip(keys[first].tolist(), twice[first].tolist(), strict=True):
             pair, b = divmod(key, width)
             d, i = divmod(pair, len(self.ids))
-            step, m = int(self.k[i]) + 1, int(self.m[i])
-            low = (b - 1) * step - m
-            got = align(self.points[i], points[place[d] : place[d + 1]], low, low + (2 + more) * step - 1, int(self.k[i]))
-            if got is not None:
-                edits, start, stop = got
-                base = origin[place[d]]
-                span = (d, i, max(0, int(origin[place[d] + start] - base - 1)), min(len(texts[d]), int(origin[place[d] + stop - 1] - base)))
-                found[span] = min(edits, found.get(span, edits))
-        return [(*span, edits) for span, edits in sorted(found.items())]
+            step = int(k[i]) + 1
+            low = (b - 1) * step - int(self.m[i])
+            yield d, i, low, low + (2 + more) * step - 1
+
+    def part_regions(self, at, item, pos, doc, points, place, texts, origin, whole) -> dict:
+        """Regions of parts of the long items, beside the ``whole`` ones."""
+        long = self.m[item] > WINDOW
+        at, item, pos, doc = (x[long] for x in (at, item, pos, doc))
+        if not len(at):
+            return {}
+        diagonal, taken, found = at - place[doc] - pos, {}, {}
+        for d, i, start, stop in whole:
+            taken.setdefault((d, i), []).append((start, stop))
+        pair = doc * len(self.ids) + item
+        order = np.argsort(pair, kind="stable")
+        pair, diagonal, pos = pair[order], diagonal[order], pos[order]
+        k, need = int(self.part_k), int(self.part_bound)
+        for d, i, low, high in self.bands(diagonal, pair % len(self.ids), pair // len(self.ids), np.full(len(self.ids), self.part_k), self.part_need):
+            a, b = np.searchsorted(pair, [d * len(self.ids) + i, d * len(self.ids) + i + 1])
+            own = np.sort(pos[a:b][(diagonal[a:b] >= low) & (diagonal[a:b] <= high)])
+            m, reach = int(self.m[i]), WINDOW - Q
+            # A window from s on holds the q-grams that begin at s to s + reach.
+            s = np.arange(m - WINDOW + 1)
+            full = np.flatnonzero(np.searchsorted(own, s + reach, side="right") - np.searchsorted(own, s) >= need)
+            text, s = points[place[d] : place[d + 1]], 0
+            while (j := np.searchsorted(full, s)) < len(full):
+                s = int(full[j])
+                edits, got = align_part(self.points[i][s:], text, low + s, high + s, k)
+                if got is None:
+                    # A window further on by one has at most one edit less.
+                    s += edits - k
+                    continue
+                length, edits, start, stop = got
+                s += length
+                # Backwards from its end the region's beginning is found in the same way.
+                _, back = align_part(self.points[i][:s][::-1], text[:stop][::-1], stop - s - high, stop - s - low, k)
+                if back is not None:
+                    edits, start, stop = back[1], stop - back[3], stop - back[2]
+                span = self.original(texts[d], origin, place[d], start, stop)
+                others = taken.setdefault((d, i), [])
+                if all(span[1] <= x or y <= span[0] for x, y in others):
+                    others.append(span)
+                    found[d, i, *span] = edits
+        return found
+
+
+def align_part(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, tuple[int, int, int, int] | None]:
+    """(edits of the item's first WINDOW characters, (length, edits, start, stop) of the beginning whose edits are farthest below the share).
+
+    The second is None where those edits are more than ``k``. The alignment is that of align().
+    """
+    low, high = low - k, high + k
+    width = high - low + 1
+    steps = np.arange(width) * _FAR
+    left, right = max(0, -low), max(0, high + len(item) - len(text))
+    around = np.concatenate([np.full(left, 0xFFFFFFFF, np.uint32), text, np.full(right, 0xFFFFFFFF, np.uint32)])
+    row = np.clip(np.arange(low, high + 1), 0, len(text))
+    first, got, least = 0, None, 0.0
+    for n, c in enumerate(item.tolist(), 1):
+        drop = row + _FAR
+        row = row + (around[left + low + n - 1 : left + low + n - 1 + width] != c) * _FAR
+        np.minimum(row[:-1], drop[1:], out=row[:-1])
+        row -= steps
+        np.minimum.accumulate(row, out=row)
+        row += steps
+        if n >= WINDOW:
+            best = int(row.argmin())
+            edits, start = divmod(int(row[best]), _FAR)
+            if n == WINDOW:
+                first = edits
+                if edits > k:
+                    break
+            stop = min(len(text), max(start, low + best + n))
+            if EDIT_SHARE * n - edits >= least and start < stop:
+                got, least = (n, edits, start, stop), EDIT_SHARE * n - edits
+            elif edits > EDIT_SHARE * len(item):
+                break
+    return first, got
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int] | None:

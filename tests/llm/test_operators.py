@@ -523,3 +523,41 @@ def test_language_stage_drops_what_no_learned_language_explains(spark, docs):
         kept = corpus_pipeline.language(spark, own.unionByName(spark.createDataFrame(rows, DOCS)), sf)
         ids = {r.doc_id for r in kept.select("doc_id").collect()}
         assert ids == {r.doc_id for r in own.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+
+
+def test_parts_of_items():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(400)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    item = some(90)[:394].strip()
+    index = decontaminate.Items([1], [item])
+
+    def found(text):
+        return [(d, i, text[a:b], e) for d, i, a, b, e in index.regions([text])]
+
+    got = found(f"{some(40)} {item[:300]} {some(40)}")
+    assert len(got) == 1 and item[:290] in got[0][2] and got[0][3] <= 8
+    got = found(f"{some(40)} {item[94:]} {some(40)}")
+    assert len(got) == 1 and item[104:] in got[0][2]
+    # Line dedup removes an inner line; what is left lies on two diagonals.
+    got = found(f"{some(40)}\n{item[:150]}\n{item[240:]}\n{some(40)}")
+    assert len(got) == 2 and item[:145] in got[0][2] and item[245:] in got[1][2]
+    assert found(f"{some(40)} {item[:70]} {some(40)}") == [] == found(some(200))
+    assert [e for *_, e in found(f"{some(5)} {item} {some(5)}")] == [0]
+
+
+def test_parts_equal_brute_force():
+    rng, w, hits, misses = random.Random(9), decontaminate.WINDOW, 0, 0
+    for _ in range(16):
+        item = "".join(rng.choices("abcdefgh ", k=rng.randint(w + 5, 260))).strip()
+        at = rng.randrange(len(item) // 2)
+        x = list(item[at : at + rng.randint(w - 15, 200)])
+        for _ in range(rng.randint(0, len(x) // 8)):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        text = "".join([*rng.choices("abcdefgh ", k=90), *x, *rng.choices("abcdefgh ", k=90)])
+        index, n, own = decontaminate.Items([1], [item]), decontaminate.normal([item])[0].tolist(), decontaminate.normal([text])[0].tolist()
+        whole = least_edits(n, own) <= int(index.k[0])
+        part = any(least_edits(n[s : s + w], own) <= int(decontaminate.EDIT_SHARE * w) for s in range(0, len(n) - w + 1))
+        assert bool(index.regions([text])) == (whole or part)
+        hits, misses = hits + part, misses + (not part)
+    assert hits > 2 and misses > 2
