@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty() and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="prospecta-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)
@@ -31,6 +33,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which outlives lost executors; the shuffle files that made it go once it is whole."""
+    spark = df.sparkSession
+    out, before = scratch(spark, what), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(out)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(out)
+    table._written = out
+    return table
+
+
+def dropped(result: DataFrame, *tables: DataFrame) -> DataFrame:
+    """``result``, a written table, after the tables of written() that it no longer needs have been deleted."""
+    spark = result.sparkSession
+    for table in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return result
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 
