@@ -206,6 +206,52 @@ def test_surrogates_are_distinct_and_new(spark):
     assert len(got) == 300 and len(set(made)) == 300 and not set(made) & {f for _, f in real}
 
 
+def test_surrogates_of_many_names(spark, monkeypatch):
+    real = [("surname:han", chr(0x4E00 + i)) for i in range(2000)] + [("given_f:latin", f"n{i}") for i in range(100)]
+    got = pii.assign(spark.createDataFrame(real, "kind string, form string"), "k").collect()
+    assert len(got) == 2100 == len({(r.kind, r.surrogate) for r in got})
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    crowded = [("phone", f"{i:04d}") for i in range(9000)]
+    with pytest.raises(ValueError, match="no room"):
+        pii.assign(spark.createDataFrame(crowded, "kind string, form string"), "k")
+
+
+def test_surrogate_layouts_and_bare_names(spark):
+    rows = [
+        (1, "Mr. Smith came. Then Mr. Smith Went home; Smith slept, SMITH's dog and blacksmith smith."), (2, "Dr. John Smith and John Smith, said Smith."),
+        (3, "JOHN.DOE@x.com, John.Doe+7@X.com"), (4, "+1 22 22 or +44 20 7946 0958"), (5, "Frau Müller-Lüdenscheid und Müller-Lüdenscheid, Müller"),
+    ]
+    got = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_col="n").collect()}
+    a, b, c, upper = re.match(r"Mr\. (\w+) came\. Then Mr\. (\w+) Went home; (\w+) slept, (\w+)'s dog and blacksmith smith\.", got[1].text).groups()
+    assert a == b == c == upper.title() != "Smith" and got[1].n == 4
+    given, sur, given2, sur2, sur3 = re.match(r"Dr\. (\w+) (\w+) and (\w+) (\w+), said (\w+)\.", got[2].text).groups()
+    assert given == given2 != "John" and sur == sur2 == sur3 == a and got[2].n == 4
+    one, two = got[3].text.split(", ")
+    assert re.fullmatch(r"[A-Z]{4}\.[A-Z]{3}@[a-z]+\.example\.com", one) and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{2}\+\d@[a-z]+\.example\.com", two)
+    assert re.fullmatch(r"\+1 \d\d \d\d or \+44 \d\d \d{4} \d{4}", got[4].text) and "22 22" not in got[4].text and "7946" not in got[4].text
+    assert re.fullmatch(r"Frau (\w+) und \1, Müller", got[5].text)
+
+
+def test_surrogates_of_a_table_are_consistent_and_distinct(spark):
+    """Brute force over a table: one surrogate for each entity, none for two, and none that is an entity itself."""
+    rng = random.Random(9)
+    mails = [f"u{i}.x{i % 7}@h{i % 5}.org" for i in range(200)]
+    rows = [(k, " ; ".join(rng.choices(mails, k=rng.randint(1, 6)))) for k in range(300)]
+    seen = {}
+    for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect():
+        before, after = rows[r.doc_id][1].split(" ; "), r.text.split(" ; ")
+        assert len(before) == len(after)
+        for x, y in zip(before, after, strict=True):
+            assert seen.setdefault(x, y) == y
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(mails)
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 500_000, "x@" + "ab." * 300_000 + "com", "a.b+c-" * 170_000 + "@", "+1" + " 22" * 330_000, "1." * 500_000, "1234-" * 200_000, "AB12" * 250_000, "Mr. " + "A" * 1_000_000, "Mr. Ab " * 140_000, "(" * 1_000_000, "安" * 300_000], ids=range(11))
+def test_surrogates_of_long_texts(spark, text):
+    got = pii.surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k", count_col="n").first()
+    assert got.doc_id == 1 and got.text and (got.n > 0) == (got.text != text)
+
+
 # 5 line dedup
 
 
