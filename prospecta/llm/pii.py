@@ -60,6 +60,7 @@ _TITLES = "|".join(sorted((t.replace(".", r"\.") for t in (*MALE, *FEMALE, *NEUT
 _WORD = r"[\p{Lu}\p{Lo}][\p{L}'’-]*+"
 NAME = rf"(?<![\p{{L}}\p{{N}}_])(?:{_TITLES}) {_WORD}(?: {_WORD}){{0,2}}"
 _FIRSTS = "".join(sorted({t[0] for t in (*MALE, *FEMALE, *NEUTRAL)}))
+_BARE = rf"(?<![\p{{L}}\p{{N}}_]){_WORD}"
 # What a mention begins with is looked at first; most places of a text are done with at that.
 _PLAIN = rf"(?=[0-9+(])(?:{PHONE}|{IP}|{CARD}|{SSN})|(?=[A-Z])(?:{IBAN})|(?=[{_FIRSTS}])(?:{NAME})"
 MENTION = rf"{EMAIL}|{_PLAIN}"
@@ -103,32 +104,43 @@ def _name_words(m: Column) -> Column:
     return F.slice(F.split(m, " "), 2, 10)
 
 
-def surnames_of(ms: Column) -> Column:
-    """The words, in lower case, that stand alone behind a form of address."""
-    alone = F.filter(ms, lambda m: (kind_of(m) == "name") & (F.size(F.split(m, " ")) == 2))
-    return F.transform(alone, lambda m: F.lower(F.element_at(F.split(m, " "), 2)))
+def _stem(w: Column) -> Column:
+    """A name's word in lower case, without the ending of the genitive."""
+    return F.regexp_replace(F.lower(w), "['’]s$", "")
 
 
-def entities_of(m: Column, surnames: Column) -> Column:
+def _ending(w: Column) -> Column:
+    return F.regexp_extract(w, "['’][sS]$", 0)
+
+
+def entities_of(m: Column) -> Column:
     """The entities of a mention, in order, as (kind, form): one, or one for each word of a name.
 
-    The last word of a name is a surname, those before are given names with the gender of the address. One of ``surnames`` ends a name.
+    The last word of a name is a surname, those before are given names with the gender of the address.
     """
     kind = kind_of(m)
     one = lambda k, form: F.struct(k.alias("kind"), form.alias("form"))
     words = _name_words(m)
-    ends = F.array_position(F.transform(words, lambda w: F.array_contains(surnames, F.lower(w))), True)
-    words = F.when(ends > 0, F.slice(words, F.lit(1), ends.cast("int"))).otherwise(words)
     # A word alone or last is a surname.
     named = F.transform(
         words,
-        lambda w, i: one(F.concat(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), _gender(m))), F.lit(":"), _script(w)), F.lower(w)),
+        lambda w, i: one(F.concat(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), _gender(m))), F.lit(":"), _script(w)), _stem(w)),
     )
     digits = F.regexp_replace(m, "[^0-9]", "")
     form = F.when((kind == "phone") & m.startswith("+"), F.concat(F.lit("+"), digits)).when(kind.isin("phone", "card", "ssn"), digits).otherwise(F.lower(m))
     return F.when(kind == "name", named).otherwise(F.array(one(kind, form)))
 
 
+def _parts(lists: DataFrame) -> DataFrame:
+    """(list, at, m, part, kind, form): the entities of each list's mentions. A word that stands alone behind a form of address of the list ends a name."""
+    mentions = lists.select("list", F.posexplode("ms").alias("at", "m")).withColumn("entities", entities_of(F.col("m")))
+    parts = mentions.select("list", "at", "m", F.size("entities").alias("size"), F.posexplode("entities").alias("part", "entity")).select("list", "at", "m", "size", "part", "entity.*")
+    alone = parts.where("size = 1 and kind like 'surname:%'").select("list", "form").distinct()
+    ends = parts.where("size > 1").join(alone, ["list", "form"], "left_semi").groupBy("list", "at").agg(F.min("part").alias("end"))
+    kind = F.when(F.col("part") == F.col("end"), F.concat(F.lit("surname:"), F.substring_index("kind", ":", -1))).otherwise(F.col("kind"))
+    return parts.join(ends, ["list", "at"], "left").where("end is null or part <= end").select("list", "at", "m", "part", kind.alias("kind"), "form")
+
+
 def _digits(h: Column) -> Column:
     """30 decimal digits of a hex digest."""
     return F.concat(*(F.right(F.lpad(F.conv(F.substring(h, at, 15), 16, 10), 18, "0"), F.lit(15)) for at in (1, 16)))
@@ -191,9 +203,10 @@ def surrogate_form(kind: Column, form: Column, attempt: int, key: str) -> Column
     return out.otherwise(phone)
 
 
-def _cased(form: Column, word: Column) -> Column:
-    """A surrogate word in the case of the word that it stands for."""
-    return F.when((F.upper(word) == word) & (F.length(word) > 1) & (F.lower(word) != word), F.upper(form)).otherwise(F.initcap(form))
+def _cased(word: Column, form: Column) -> Column:
+    """A surrogate word in the case of the word that it stands for, with that one's ending."""
+    stem = F.regexp_replace(word, "['’][sS]$", "")
+    return F.concat(F.when((F.upper(stem) == stem) & (F.length(stem) > 1) & (F.lower(stem) != stem), F.upper(form)).otherwise(F.initcap(form)), _ending(word))
 
 
 def _laid_out(m: Column, kind: Column, forms: Column) -> Column:
@@ -205,7 +218,7 @@ def _laid_out(m: Column, kind: Column, forms: Column) -> Column:
     domain, had = F.substring_index(forms[0], "@", -1), F.substring_index(m, "@", -1)
     email = F.concat(local, F.lit("@"), F.when(F.upper(had) == had, F.upper(domain)).otherwise(domain))
     words = _name_words(m)
-    name = F.concat(F.zip_with(F.slice(words, F.lit(1), F.size(forms)), forms, lambda w, f: _cased(f, w)), F.slice(words, F.size(forms) + 1, F.lit(10)))
+    name = F.concat(F.zip_with(F.slice(words, F.lit(1), F.size(forms)), forms, _cased), F.slice(words, F.size(forms) + 1, F.lit(10)))
     name = F.concat(F.substring_index(m, " ", 1), F.lit(" "), F.array_join(name, " "))
     return F.when(kind.isin("phone", "card", "ssn"), spaced).when(kind == "name", name).when(kind == "iban", F.upper(forms[0])).when(kind == "email", email).otherwise(forms[0])
 
@@ -236,11 +249,6 @@ def _names(parts: DataFrame, named: DataFrame) -> DataFrame:
     return one.groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("form", "e.surrogate"))).alias("words"))
 
 
-def _bare(words: Column) -> Column:
-    """The pattern of the words of a map, capitalised."""
-    return F.concat(F.lit(r"(?<![\p{L}\p{N}_])(?=[\p{Lu}\p{Lo}])(?iu:"), F.array_join(F.reverse(F.array_sort(F.map_keys(words))), "|"), F.lit(r")(?![\p{L}\p{N}_])"))
-
-
 def _woven(between: Column, put: Column) -> Column:
     return F.array_join(F.zip_with(between, put, lambda g, s: F.concat(F.coalesce(g, F.lit("")), F.coalesce(s, F.lit("")))), "")
 
@@ -253,8 +261,7 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str
     marked = docs.where(_has(text)).withColumn(own, _found(text))
     marked = marked.withColumn(f"{own}_key", F.sha2(F.array_join(own, "\x1f"), 256))
     lists = cut(marked.groupBy(F.col(f"{own}_key").alias("list")).agg(F.first(own).alias("ms")))
-    mentions = lists.select("list", surnames_of(F.col("ms")).alias("surnames"), F.posexplode("ms").alias("at", "m"))
-    parts = mentions.select("list", "at", "m", F.posexplode(entities_of(F.col("m"), F.col("surnames"))).alias("part", "entity")).select("list", "at", "m", "part", "entity.*")
+    parts = cut(_parts(lists))
     named = assign(parts.select("kind", "form").distinct(), key)
     forms = parts.join(named, ["kind", "form"]).groupBy("list", "at", "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "surrogate"))), lambda x: x.surrogate).alias("forms"))
     written = forms.select("list", "at", _laid_out(F.col("m"), kind_of(F.col("m")), F.col("forms")).alias("s"))
@@ -262,10 +269,12 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text", count_col: str
     by_list = by_list.select(F.col("list").alias(f"{own}_list"), F.col("ss").alias(f"{own}_ss"), F.col("words").alias(f"{own}_words"))
     gaps, words = F.when(text.contains("@"), F.split(text, MENTION, -1)).otherwise(F.split(text, _PLAIN, -1)), F.col(f"{own}_words")
     done = marked.join(by_list, F.col(f"{own}_key") == F.col(f"{own}_list")).withColumn(f"{own}_gaps", gaps)
-    again = lambda g: F.regexp_extract_all(g, _bare(words), F.lit(0))
-    rewritten = lambda g: _woven(F.split(g, _bare(words), -1), F.transform(again(g), lambda w: _cased(words[F.lower(w)], w)))
+    # Other capitalised words stay as they are.
+    again = lambda g: F.regexp_extract_all(g, F.lit(_BARE), F.lit(0))
+    known = lambda w: F.coalesce(words[F.lower(w)], words[_stem(w)])
+    rewritten = lambda g: _woven(F.split(g, _BARE, -1), F.transform(again(g), lambda w: F.coalesce(_cased(w, known(w)), w)))
     between = F.when(words.isNull(), F.col(f"{own}_gaps")).otherwise(F.transform(f"{own}_gaps", rewritten))
-    bare = F.when(words.isNull(), F.lit(0)).otherwise(F.aggregate(f"{own}_gaps", F.lit(0), lambda a, g: a + F.size(again(g))))
+    bare = F.when(words.isNull(), F.lit(0)).otherwise(F.aggregate(f"{own}_gaps", F.lit(0), lambda a, g: a + F.size(F.filter(again(g), lambda w: known(w).isNotNull()))))
     count = [] if count_col is None else [(F.size(f"{own}_ss") + bare).alias(count_col)]
     none = [] if count_col is None else [F.lit(0).alias(count_col)]
     keep = lambda value: [value.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
