@@ -24,8 +24,10 @@ from prospecta.llm.textblocks import row_blocks
 ORDERS, BUCKETS, SMOOTHING = (2, 3), 1 << 16, 0.5
 #: At most about so many labelled documents are learned from, whatever the table's size.
 TRAIN_DOCS = 20_000
-#: At most so many languages, the most frequent ones, become classes; this bounds the matrix.
-MAX_LANGUAGES = 200
+#: Languages that a model can have, which bounds the matrix (0.25 MB each); with more in the sample training is refused.
+MAX_LANGUAGES = 1000
+#: Languages whose counts a task holds at once.
+HELD_LANGUAGES = 64
 UNKNOWN = "und"
 #: How many deviations of its language's training n-grams a text's mean may lie below theirs: so many, and so many over the
 #: root of its n-grams (each character is in five n-grams, so 10 is about 4.5 standard errors).
@@ -83,9 +85,19 @@ def train_with_spread(docs: DataFrame, id_col="doc_id", text_col="text", lang_co
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     taught = taught.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     taught = bounded_sample(taught, bound, "i")
+    names = sorted(r.l for r in taught.select("l").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages among the labelled documents: clean the column or raise MAX_LANGUAGES")
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def emitted():
+            for lang, own in sums.items():
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at])], ["l", "f", "n"])
+            sums.clear()
+
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for at, texts in row_blocks(batch.column(0)):
@@ -95,20 +107,17 @@ def train_with_spread(docs: DataFrame, id_col="doc_id", text_col="text", lang_co
                     own = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                     own[:BUCKETS] += np.bincount(ids[ends[k] - sizes[k] : ends[k]], minlength=BUCKETS)
                     own[BUCKETS] += 1
-        for lang, own in sums.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at])], ["l", "f", "n"])
+                    if len(sums) > HELD_LANGUAGES:
+                        yield from list(emitted())
+        yield from emitted()
 
     sums = taught.select("t", "l").mapInArrow(count, "l string, f long, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     lang, f, n = found.column("l").to_pylist(), np.asarray(found.column("f")), np.asarray(found.column("n"))
-    seen = {x: int(c) for x, c, b in zip(lang, n, f, strict=True) if b == BUCKETS}
-    names = sorted(sorted(seen, key=lambda x: (-seen[x], x))[:MAX_LANGUAGES])
     if not names:
         return ([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)), (np.zeros(0), np.zeros(0))
     counts, at = np.zeros((BUCKETS + 1, len(names))), {x: k for k, x in enumerate(names)}
-    column = np.array([at.get(x, -1) for x in lang])
-    counts[f[column >= 0], column[column >= 0]] = n[column >= 0]
+    counts[f, np.array([at[x] for x in lang])] = n
     docs_of, own = counts[BUCKETS], counts[:BUCKETS]
     smooth = own + SMOOTHING
     matrix = np.log(smooth / smooth.sum(axis=0)).astype(np.float32)

@@ -68,7 +68,7 @@ def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
 def queries() -> dict:

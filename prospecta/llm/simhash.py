@@ -129,15 +129,16 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of each row's whole text as a signed long. Null and empty texts have fingerprint 0."""
+    """(id, fp, text_hash): the fingerprint of each row's whole text as a signed long, and the text's XXH64. Null and empty texts have fingerprint 0."""
 
     def run(batches):
         for batch in batches:
             out = [fingerprints(texts) for _, texts in row_blocks(batch.column(1))]
             fp = np.concatenate(out or [np.empty(0, _U)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, "id long, fp long, text_hash long")
 
 
 def _keys(fp):
@@ -241,14 +242,16 @@ def link(fps: DataFrame) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) of every row; component_id is the smallest id reachable over links.
+    """(id, fingerprint, component_id, text_hash, root) of every row.
 
-    Equal fingerprints collapse before linking, so groups of copies cost one row. A row with a null id
-    keeps a null component unless its fingerprint has other rows; repeated ids stay as repeated rows.
-    An empty table gives no rows.
+    component_id is the smallest id reachable over links, root the fingerprint that names the component. Equal fingerprints collapse before linking, so
+    groups of copies cost one row. Rows are linked by their texts alone: rows that share an id can be in several components, and rows
+    without an id belong to components like any other; only a component without any id has a null component_id. An empty table gives no rows.
     """
     marked = cut(with_fingerprints(docs, id_col, text_col))
     firsts = cut(marked.groupBy("fp").agg(F.min("id").alias("id")))
-    tied = components(link(firsts.where("id is not null")), "u", "v")
-    classes = firsts.join(tied, firsts.id == tied.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(classes, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    tied = components(link(firsts.select(F.col("fp").alias("id"), "fp")), "u", "v")
+    rooted = firsts.join(tied, firsts.fp == tied.node, "left").select("fp", "id", F.coalesce("component", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    classes = rooted.select("fp", "root").join(least, "root")
+    return marked.join(classes, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")

@@ -12,10 +12,12 @@ first. Repeated ids stay separate documents, in the order of a hash of their tex
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +69,17 @@ class EliasFano:
             value = value << 1 | (int(self.low[bit >> 3]) >> (bit & 7) & 1)
         return value
 
-    def values(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (high << self.low_bits) + low @ (1 << np.arange(self.low_bits, dtype=np.int64))
+    def blocks(self) -> Iterator[np.ndarray]:
+        """All values, SAMPLE at a time: a batch select from each sample to the next. Nothing of the sequence's length is built."""
+        weights = 1 << np.arange(self.low_bits, dtype=np.int64)
+        for k, first in enumerate(self.samples.tolist()):
+            i, n = k * SAMPLE, min(SAMPLE, self.n - k * SAMPLE)
+            stop = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+            bits = np.unpackbits(self.high[first >> 3 : (stop + 7) >> 3], bitorder="little")
+            ones = np.flatnonzero(bits[first & 7 :])[:n] + first
+            at, end = i * self.low_bits, (i + n) * self.low_bits
+            low = np.unpackbits(self.low[at >> 3 : (end + 7) >> 3], bitorder="little")[at & 7 :][: end - at]
+            yield ((ones - np.arange(i, i + n)) << self.low_bits) + low.reshape(n, self.low_bits).astype(np.int64) @ weights
 
     def to_bytes(self) -> bytes:
         parts = [self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]
@@ -100,8 +109,10 @@ class TokenFile:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
-    def doc_ids(self) -> list:
-        return [None] * self.n_null + (self.own.values() + self.least).tolist()
+    def doc_ids(self) -> Iterator[int | None]:
+        yield from itertools.repeat(None, self.n_null)
+        for block in self.own.blocks():
+            yield from (block + self.least).tolist()
 
 
 def file_bytes(doc_ids: list, sizes: list[int], ids: np.ndarray) -> list[bytes]:
@@ -116,7 +127,7 @@ def file_bytes(doc_ids: list, sizes: list[int], ids: np.ndarray) -> list[bytes]:
 #: Units start where the tokenizer never joins text: at a run of spaces and line feeds, between a word and
 #: the punctuation after it, and after that punctuation.
 _UNIT = re.compile(r"[ \n]?[^\W\d_]+(?=[.,;:!?])|[.,;:!?]+(?=[ \n])|[ \n]*[^ \n]+|[ \n]+")
-#: With other white space a whole text goes to the tokenizer at once.
+#: With other white space, or with an added token of the tokenizer (<|endoftext|>), a whole text goes to the tokenizer at once.
 # What either library may take for white space, but for the space and the line feed.
 _OTHER_SPACE = [chr(c) for c in (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
 
@@ -129,9 +140,9 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         # Units of letters behind at most one space are one piece to the pre-tokenizer, so it can skip its
         # pattern; joined by a special token, which such a unit can't hold, they are encoded in one call.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.mark = Tokenizer.from_str(tokenizer_json), next((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not t.content.isalpha()), None)
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.mark_id = None if self.mark is None else self.tokenizer.token_to_id(self.mark)
@@ -160,7 +171,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         units, counts, whole = [], [], {}
         for k, text in enumerate(texts):
-            if any(c in text for c in _OTHER_SPACE):
+            if any(c in text for c in _OTHER_SPACE) or any(c in text for c in self.added):
                 whole[k] = np.array(self._encode([text])[0], self.dtype)
                 counts.append(0)
             else:
@@ -236,10 +247,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             for name, base in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with open_input(name) as f:
                     held = TokenFile(f.read())
-                ends = held.ends.values()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(held.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(held.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                own, start = held.doc_ids(), 0
+                for ends in held.ends.blocks():
+                    starts = np.concatenate([[start], ends[:-1]]).astype(np.int64)
+                    start = int(ends[-1])
+                    crc = [zlib.crc32(held.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    ids = list(itertools.islice(own, len(ends)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return manifest.repartition("file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -420,7 +420,7 @@ def test_elias_fano():
     for n, universe in ((0, 1), (1, 5), (1000, 10**6), (2000, 2100), (300, 3 * 10**6)):
         values = np.sort(np.array([rng.randrange(universe) for _ in range(n)], np.int64))
         held, _ = tokenfile.EliasFano.read(tokenfile.EliasFano.of(values, universe).to_bytes(), 0)
-        assert held.values().tolist() == values.tolist() and [held.select(i) for i in range(n)] == values.tolist()
+        assert [int(v) for block in held.blocks() for v in block] == values.tolist() and [held.select(i) for i in range(n)] == values.tolist()
         if n >= 1000:
             assert len(held.low) + len(held.high) <= n * (2 + math.log2(universe / n) + 1) / 8 + 16
     with pytest.raises(IndexError):
@@ -431,7 +431,6 @@ def plain_ids(rows):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     return [[*own.encode(t or "", add_special_tokens=False).ids, 0] for t in rows]
 
 
@@ -447,6 +446,9 @@ def test_token_files_round_trip(spark, docs, awkward, empty):
     assert [r.doc_id for r in back] == [None, None, -5, 1, 1, 2, 3, 4]
     assert Counter(r.ids_crc32 for r in back) == Counter(zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in plain_ids([t for _, t, *_ in AWKWARD]))
     assert tokenfile.read_tokens(tokenfile.write_tokens(empty, path)).count() == 0
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny ", "<|endoftext| >", "word " * 9000 + "<|endoftext|>"]
+    back = tokenfile.read_tokens(tokenfile.write_tokens(spark.createDataFrame(list(enumerate(special)), "doc_id long, text string"), path)).orderBy("doc_id").collect()
+    assert [r.ids_crc32 for r in back] == [zlib.crc32(np.array(ids, "<u4").tobytes()) for ids in plain_ids(special)]
     folder = manifest.first().file.rsplit("/", 1)[0]
     assert tokenfile.manifest_of(spark, folder).orderBy("start").collect() == manifest.orderBy("start").collect()
 
@@ -597,6 +599,55 @@ def test_pipeline_stages(spark):
     assert set(final) == set(want.values()) - bad and all(r.round_trip and r.n_ids == len(r.ids) for r in final.values())
 
 
+def test_pipeline_stages_go_by_rows(spark):
+    """Repeated and null ids, and columns of the stages' own names."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, "a clean row about rivers and boats"), (1, f"quoted: {item}"), (2, "a clean row about rivers and boats"), (None, "nobody's words here"), (None, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS).withColumns({c: F.lit(1) for c in ("id", "key", "text_hash", "head_id0", "component_id")})
+    clean = corpus_pipeline.uncontaminated(spark, docs, SF)
+    assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted((r for r in rows if r[1] is None or "quoted" not in r[1]), key=str)
+    heads = corpus_pipeline.near_copies(spark, docs, SF)
+    assert heads.columns == docs.columns and Counter((r.doc_id, r.text) for r in heads.collect()) == Counter([rows[0], rows[1], rows[3], rows[4]])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_many_languages(spark, monkeypatch):
+    """More languages than a task holds at once give the same model; more than a model can have are refused."""
+    rows = [(k, f"wort{k % 30} " * 5 + chr(97 + k % 26) * 9, f"l{k % 30}") for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, matrix, prior = langid.train(table)
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 3)
+    again = langid.train(table)
+    assert again[0] == names and len(names) == 30 and np.array_equal(again[1], matrix) and np.array_equal(again[2], prior)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 29)
+    with pytest.raises(ValueError, match="29 languages"):
+        langid.train(table)
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    """Predictions and scores against a plain multinomial naive Bayes over the same hashed n-grams."""
+    rows = [(k, " ".join(random.Random(k).choices(["uno dos tres", "one two three", "eins zwei drei"][k % 3].split(), k=6)), "es en de".split()[k % 3]) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.id: r for r in langid.identify(table).collect()}
+    grams = {d: langid.features([t])[0].tolist() for d, t, _ in rows}
+    counts, docs_of = {x: Counter() for x in ("de", "en", "es")}, Counter()
+    for d, _, lang in rows:
+        if zlib.crc32(str(d).encode()) % 5:
+            counts[lang].update(grams[d])
+            docs_of[lang] += 1
+    for d, _, _ in rows:
+        odds = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + langid.SMOOTHING * langid.BUCKETS
+            odds[lang] = math.log(docs_of[lang] / sum(docs_of.values())) + sum(math.log((c[g] + langid.SMOOTHING) / total) for g in grams[d])
+        best = max(odds, key=odds.get)
+        share = 1 / sum(math.exp(x - odds[best]) for x in odds.values())
+        assert got[d].lang_pred == best and abs(got[d].score - share) < 1e-3
+
+
 def test_language_stage_drops_what_no_learned_language_explains(spark, docs):
     import corpus_pipeline
 
