@@ -19,32 +19,54 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is recognised: with a letter, a posterior of LEAST_SCORE or more and n-grams likely in that language."""
+    """Keep the documents whose language is recognised: with a letter, a posterior of LEAST_SCORE or more and n-grams likely in that language.
+
+    Null and empty texts go; rows are judged by their own text, so repeated rows stay or go together. Without labelled rows all go.
+    """
     model, spread = langid.train_with_spread(docs)
     return langid.recognised(docs, model, LEAST_SCORE, spread)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove every line that matches an earlier line of the corpus; all documents stay."""
+    """Remove every line that matches an earlier line of the corpus; all documents stay.
+
+    Null texts stay null. Rows equal in id and text are one document and keep the same lines; other rows of one id are documents of their own.
+    """
     kept = linededup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with a number that no column of ``docs`` has."""
+    had = {c.lower() for c in docs.columns}
+    return [next(f"{n}{k}" for k in range(1000) if f"{n}{k}" not in had) for n in names]
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each SimHash component."""
+    """Keep one document of each SimHash component: the one with the smallest id and, of several rows of that id, the smallest hash of the text.
+
+    Rows equal in id and text are one document. Null and empty texts have one fingerprint and so are one component. Rows without an id come first. An empty table stays empty.
+    """
     found = simhash.simhash_components(docs)
-    heads = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    return docs.join(heads, docs.doc_id.eqNullSafe(heads.id), "left_semi")
+    own, text = _free(docs, "head_id", "head_text")
+    heads = found.groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("head"))
+    heads = heads.select(F.col("head.id").alias(own), F.col("head.text_hash").alias(text))
+    return docs.join(heads, docs.doc_id.eqNullSafe(F.col(own)) & (F.xxhash64(docs.text) == F.col(text)), "left_semi")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents with a region that a benchmark item contaminates."""
-    found = decontaminate.find_regions(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("id").distinct(), docs.doc_id.eqNullSafe(F.col("id")), "left_anti")
+    """Drop the documents with a region that a benchmark item contaminates.
+
+    A row goes by its own text, whatever other rows share its id. Null and empty texts hold no region and stay.
+    """
+    [key] = _free(docs, "text_hash")
+    texts = docs.select(F.xxhash64("text").alias("key"), "text")
+    found = decontaminate.find_regions(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key")
+    return docs.join(found.select(F.col("id").alias(key)).distinct(), F.xxhash64(docs.text) == F.col(key), "left_anti")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text: doc_id, ids, n_ids and whether they decode to the text."""
+    """The ids of each text: doc_id, ids, n_ids and whether they decode to the text. Null and empty texts have none; every row gives a row."""
     import public_tokenizers
 
     found = sentencepieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
