@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.textblocks import row_blocks
+from prospecta.llm.textblocks import row_blocks, trimmed
 
 Q, EDIT_SHARE, MIN_CHARS, SHARD_CHARS = 8, 0.08, 24, 4_000_000
 #: So many consecutive characters of a longer item are evidence.
@@ -291,6 +291,6 @@ def find_regions(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_co
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "item_id", "start", "stop", "edits"])
 
-        one = rows.mapInArrow(run, schema)
+        one = rows.mapInArrow(trimmed(run), schema)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], schema) if found is None else found

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prospecta.llm.heldout import bounded_sample, held_out
-from prospecta.llm.textblocks import row_blocks
+from prospecta.llm.textblocks import row_blocks, trimmed
 
 ORDERS, BUCKETS, SMOOTHING = (2, 3), 1 << 16, 0.5
 #: At most about so many labelled documents are learned from, whatever the table's size.
@@ -111,7 +111,7 @@ def train_with_spread(docs: DataFrame, id_col="doc_id", text_col="text", lang_co
                         yield from list(emitted())
         yield from emitted()
 
-    sums = taught.select("t", "l").mapInArrow(count, "l string, f long, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
+    sums = taught.select("t", "l").mapInArrow(trimmed(count), "l string, f long, n long").groupBy("l", "f").agg(F.sum("n").alias("n"))
     found = sums.toArrow()
     lang, f, n = found.column("l").to_pylist(), np.asarray(found.column("f")), np.asarray(found.column("n"))
     if not names:
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model, id_col="doc_id", text_col="text") -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), "id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model, least: float, spread, id_col="doc_id", text_col="text") -> DataFrame:
@@ -184,7 +184,7 @@ def recognised(docs: DataFrame, model, least: float, spread, id_col="doc_id", te
             langs, scores = scored(batch.column(at).cast(pa.string()))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:

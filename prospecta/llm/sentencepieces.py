@@ -27,11 +27,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prospecta.llm.textblocks import UnitTable, row_blocks
+from prospecta.llm.textblocks import row_blocks, trimmed, UnitTable
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-SPACE, BLOCK, LONG_UNIT = "▁", 2 << 20, 1000
+SPACE, BLOCK, LONG_UNIT = "▁", 1 << 20, 1000
+#: An edge is a position, a piece's size and its id in one whole number; the rest of its 63 bits are the position's.
+SIZE_BITS, ID_BITS = 11, 24
 _NONE = np.iinfo(np.int64).max
 
 
@@ -109,6 +111,8 @@ class Encoder:
         self.coded, self.ids = np.array([coded[k] for k in order] or [b"\x01"]), np.array([usable[k] for k in order], np.int64)
         self.width = -(-max(self.coded.dtype.itemsize, 1) // 8) * 8
         self.size = np.array([len(coded[k]) for k in order], np.int64)
+        if len(m.pieces) >> ID_BITS or len(self.size) and int(self.size.max()) >> SIZE_BITS:
+            raise ValueError(f"pieces of {1 << SIZE_BITS} bytes or more, or {1 << ID_BITS} pieces, are beyond this encoder")
         low = [coded[k][:8].ljust(8, b"\0") for k in order]
         self.low, self.high = (np.frombuffer(b"".join(x), ">u8").astype(np.uint64) for x in (low, [coded[k][:8].ljust(8, b"\xff") for k in order]))
         scores = np.array([m.scores[i] for i in range(len(m.pieces))])
@@ -116,7 +120,7 @@ class Encoder:
         self.scores = scores
         self.pattern = unit_pattern([m.pieces[i] for i in usable], list(self.fixed))
         self.texts = [self._surface(i) for i in range(len(m.pieces))]
-        self.table = UnitTable(self._units, np.int32, limit=250_000)
+        self.table = UnitTable(self._units, np.int32, limit=150_000)
 
     def _surface(self, i: int) -> bytes:
         kind, piece = self.model.kinds[i], self.model.pieces[i]
@@ -142,7 +146,7 @@ class Encoder:
         return raw[1:] if self.model.prefix and raw.startswith(" ") else raw
 
     def edges(self, data: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """Sorted edges (start << 38 | size << 32 | piece id) of every piece's occurrences that begin at ``heads``."""
+        """Sorted edges (start, size and piece id, packed) of every piece's occurrences that begin at ``heads``."""
         room = np.concatenate([data, np.full(self.width, 255, np.uint8)])
         column = lambda at, k: np.ndarray(len(data), ">u8", room, k, strides=(1,))[at].astype(np.uint64)
         first = column(heads, 0)
@@ -168,25 +172,27 @@ class Encoder:
         some = np.flatnonzero(left < right)
         n = (right - left)[some]
         where = suffixes[np.arange(int(n.sum())) + np.repeat(left[some] - (np.cumsum(n) - n), n)]
-        return np.sort(where << 38 | np.repeat(self.size[some] << 32 | self.ids[some], n))
+        return np.sort(where << SIZE_BITS + ID_BITS | np.repeat(self.size[some] << ID_BITS | self.ids[some], n))
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         coded = [np.frombuffer(u.encode() + b"\xfe", np.uint8) for u in units]
         data = np.concatenate(coded) + np.uint8(1)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        if len(data) >> 63 - SIZE_BITS - ID_BITS:
+            raise ValueError("a block of units is too long to index")
         begin = np.cumsum(sizes) - sizes
         # Heads of characters: neither continuation bytes nor the marks between units.
         heads = np.flatnonzero(((data - np.uint8(1)) & 0xC0 != 0x80) & (data != 255))
         edges = self.edges(data, heads)
-        keys, ids = edges >> 32, edges & 0xFFFFFFFF
+        keys, ids = edges >> ID_BITS, edges & ((1 << ID_BITS) - 1)
         stops = np.append(heads[1:], len(data))
         last = np.searchsorted(heads, begin + sizes - 1) - 1
         stops[last] = begin + sizes - 1
         relax = self._best_paths if self.model.type == UNIGRAM else self._merges
         start, stop = relax(heads, stops, keys, ids, np.searchsorted(heads, begin), np.array([u in self.fixed for u in units]))
-        found = np.searchsorted(keys, start << 6 | (stop - start))
+        found = np.searchsorted(keys, start << SIZE_BITS | (stop - start))
         found[found == len(keys)] = 0
-        known = (keys[found] == start << 6 | (stop - start)) & (stop - start < 64) if len(keys) else np.zeros(len(start), bool)
+        known = (keys[found] == start << SIZE_BITS | (stop - start)) & (stop - start < 1 << SIZE_BITS) if len(keys) else np.zeros(len(start), bool)
         whole = np.searchsorted(begin, start, side="right") - 1
         size = np.where(known | (self.bytes is None), 1, stop - start)
         ends = np.cumsum(size)
@@ -207,9 +213,9 @@ class Encoder:
 
         def value(a, b):
             size = b - a
-            at = np.searchsorted(keys, a << 6 | np.minimum(size, 63))
+            at = np.searchsorted(keys, a << SIZE_BITS | np.minimum(size, 63))
             at[at == len(keys)] = 0
-            hit = (size < 64) & (keys[at] == a << 6 | np.minimum(size, 63)) if len(keys) else np.zeros(len(a), bool)
+            hit = (size < 64) & (keys[at] == a << SIZE_BITS | np.minimum(size, 63)) if len(keys) else np.zeros(len(a), bool)
             return np.where(hit, rank[at] << 32 | a, _NONE) if len(keys) else np.full(len(a), _NONE)
 
         done = [(start[:0], stop[:0])]
@@ -287,7 +293,7 @@ class Encoder:
         units = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(start))))
         usable = np.isin(np.array(self.model.kinds)[ids], (NORMAL, USER_DEFINED))
         at = dict.fromkeys(start[first].tolist(), (0.0, -1))
-        edges = list(zip((keys[usable] >> 6).tolist(), ((keys[usable] >> 6) + (keys[usable] & 63)).tolist(), self.scores[ids[usable]].tolist(), strict=True))
+        edges = list(zip((keys[usable] >> SIZE_BITS).tolist(), ((keys[usable] >> SIZE_BITS) + (keys[usable] & ((1 << SIZE_BITS) - 1))).tolist(), self.scores[ids[usable]].tolist(), strict=True))
         single = {(a, b) for a, b, _ in edges}
         edges += [(a, b, penalty) for a, b in zip(start.tolist(), stop.tolist(), strict=True) if (a, b) not in single]
         for a, b, score in sorted(edges, key=lambda e: (e[0], e[1])):
@@ -333,7 +339,7 @@ def encode(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text") -
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids, pa.array(same)], ["id", "ids", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(trimmed(run), "id long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, id_col="id", ids_col="ids") -> DataFrame:
@@ -347,4 +353,4 @@ def decode(encoded: DataFrame, model_path: str, id_col="id", ids_col="ids") -> D
             texts = [None if ids is None else own.decode(np.array(ids, np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(trimmed(run), "id long, text string")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prospecta.llm.cluster import components, cut
-from prospecta.llm.textblocks import row_blocks
+from prospecta.llm.textblocks import row_blocks, trimmed
 
 SHINGLE_WORDS, SEED, RADIUS, SEGMENTS = 3, 42, 3, 4
 SEGMENT_BITS = 64 // SEGMENTS
@@ -138,7 +138,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["id", "fp", "text_hash"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, "id long, fp long, text_hash long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).mapInArrow(trimmed(run), "id long, fp long, text_hash long")
 
 
 def _keys(fp):
@@ -238,7 +238,7 @@ def link(fps: DataFrame) -> DataFrame:
     busy = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("long"))
     rows = keyed.join(busy, "key").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("long").alias("side"), "id", "fp")
-    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_bucket_edges, "u long, v long")
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(trimmed(_bucket_edges), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
