@@ -213,9 +213,9 @@ class Encoder:
 
         def value(a, b):
             size = b - a
-            at = np.searchsorted(keys, a << SIZE_BITS | np.minimum(size, 63))
+            at = np.searchsorted(keys, a << SIZE_BITS | np.minimum(size, (1 << SIZE_BITS) - 1))
             at[at == len(keys)] = 0
-            hit = (size < 64) & (keys[at] == a << SIZE_BITS | np.minimum(size, 63)) if len(keys) else np.zeros(len(a), bool)
+            hit = (size < 1 << SIZE_BITS) & (keys[at] == a << SIZE_BITS | np.minimum(size, (1 << SIZE_BITS) - 1)) if len(keys) else np.zeros(len(a), bool)
             return np.where(hit, rank[at] << 32 | a, _NONE) if len(keys) else np.full(len(a), _NONE)
 
         done = [(start[:0], stop[:0])]

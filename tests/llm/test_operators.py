@@ -378,7 +378,8 @@ def test_suffix_array_edges_are_all_occurrences():
     text = "▁the▁therein".encode()
     data = np.frombuffer(text, np.uint8) + np.uint8(1)
     heads = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
-    got = {(int(e) >> 38, (int(e) >> 32) & 63, int(e) & 0xFFFFFFFF) for e in own.edges(data, heads)}
+    size, own_id = sentencepieces.SIZE_BITS, sentencepieces.ID_BITS
+    got = {(int(e) >> size + own_id, (int(e) >> own_id) % (1 << size), int(e) % (1 << own_id)) for e in own.edges(data, heads)}
     pieces = [(i, own.model.pieces[i].encode()) for i in own.ids.tolist()]
     assert got == {(m, len(p), i) for i, p in pieces for m in range(len(text)) if text.startswith(p, m)}
 
