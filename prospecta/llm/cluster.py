@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prospecta.llm.textblocks import give_back
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
@@ -45,6 +47,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
         df.write.parquet(out)
     finally:
         spark.conf.set(_CLEANUP, before)
+        give_back()
     table = spark.read.schema(df.schema).parquet(out)
     table._written = out
     return table
