@@ -12,8 +12,11 @@ METRICS = ["dirs", "max_distance", "img", "vol_calc", "mean_dist", "dist_std", "
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that the cluster shares; a temporary one where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="prospecta-")
+    """A new path in the folder that the cluster shares; on a local master a temporary one where spark.checkpoint.dir is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="prospecta-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
