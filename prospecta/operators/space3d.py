@@ -150,6 +150,18 @@ def nearest_color(ends: DataFrame, seen: DataFrame, cell: float = 1.0) -> DataFr
         cell *= 4
 
 
+def directional_raycast(points: DataFrame, origin, view_dir, fov: tuple[float, float], *, nearest=0.0, farthest=40.0, n=1200, heightlims=None, max_unknown=False) -> tuple[DataFrame, DataFrame]:
+    """(rays, stats) of one camera pose: the rays that reach a distance, with end point and colour, and one row of volume statistics.
+
+    rays: (dir_id, ex, ey, ez, point_id, r, g, b), ends relative to the origin, coloured by the point in range nearest to the end, the smallest id on ties. Without a point in
+    range there are no rays. stats: as volume_stats gives them, over all directions of the frustum.
+    """
+    bins = spherical_bins(points, origin, nearest=nearest, farthest=farthest, n=n, view_dir=view_dir, fov=fov, heightlims=heightlims, max_unknown=max_unknown)
+    ends = visible_ends(bins, farthest)
+    rays = ends.join(nearest_color(ends, points_in_range(points, origin, nearest, farthest)), "dir_id")
+    return rays.select("dir_id", "ex", "ey", "ez", "point_id", "r", "g", "b"), volume_stats(bins, solid_angle(fov), farthest)
+
+
 def interpolated_linear(bins: DataFrame) -> DataFrame:
     """(dir_id, value): zero bins filled along the bin index, ends clamped."""
     back = Window.orderBy("dir_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -217,6 +217,7 @@ QUERIES = {
     "data2d_calculate_2d": "select cast(0 as bigint) as origin_id, round(area, 6) as area from areas where origin_id = 3",
     "data2d_calculate_array": "select origin_id, round(area, 6) as area from careas",
     "volume_spherical": "select round(4*pi()/(3*count(*))*sum(dist*dist*dist), 6) as vol, round(min(dist), 6) as min_dist, round(max(dist), 6) as max_dist, round(avg(dist), 6) as mean_dist, round(stddev_pop(dist), 6) as std_dist from known3",
+    "directional_raycast": "select dir_id, round(ex, 6) + 0.0 as ex, round(ey, 6) + 0.0 as ey, round(ez, 6) + 0.0 as ez, point_id, r, g, b from (select dir_id, ex, ey, ez, point_id, r, g, b, row_number() over (partition by dir_id order by sqrt((ex-rx)*(ex-rx)+(ey-ry)*(ey-ry)+(ez-rz)*(ez-rz)), point_id) as k from (select dir_id, dx*dist as ex, dy*dist as ey, dz*dist as ez from fbins3 where dist > 0 and dist <= 6) e, pts) where k = 1",
     "volume_frustum": "select round(4*asin(sin(0.6)*sin(0.45))/(3*count(*))*sum(d*d*d), 6) as vol, round(avg(d), 6) as mean_dist from (select case when dist > 6 then 0 else dist end as d from fbins3)",
     "volume_single_point": "select round(4*asin(sin(0.6)*sin(0.45))/(3*count(*))*sum(d*d*d), 6) as vol, round(min(d), 6) as min_dist, round(max(d), 6) as max_dist, round(avg(d), 6) as mean_dist, round(stddev_pop(d), 6) as std_dist from (select case when dist > 6 then 0 else dist end as d from fbins3)",
     "visible_points_in_image": "select cam_id, s.point_id, x, y, z from seen s join fx_points3d p on p.point_id=s.point_id",

@@ -741,6 +741,11 @@ def volume_frustum(s):
     return rounded(space3d.volume_spherical(s.points3d, EYE, farthest=RANGE, n=DIRS, view_dir=VIEW, fov=FOV).select("vol", "mean_dist"))
 
 
+@scene
+def directional_raycast(s):
+    return rounded(space3d.directional_raycast(s.points3d, EYE, VIEW, FOV, farthest=RANGE, n=DIRS)[0], "ex", "ey", "ez")
+
+
 @scene
 def volume_single_point(s):
     return rounded(workflow.volume_point(0, RANGE, DIRS, EYE, s.points3d, FOV, VIEW))

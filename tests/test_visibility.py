@@ -264,3 +264,16 @@ def test_sinks_hold_the_whole_tables(spark):
     assert len(got) == len(want) and set(got) == want
     cameras = {f"DSC_0{r.cam_id}" for r in fixture(spark, sf, "fx_cameras").collect()}
     assert {r.img for r in registry.queries()["sink_metrics_csv"](spark, sf).collect()} == cameras
+
+
+def test_directional_raycast_colours_the_ends(spark):
+    points = cloud(spark, [(2 + 0.01 * i, 0.3 * (i % 7) - 1, 0.2 * (i % 5) - 0.4) for i in range(60)])
+    rays, stats = space3d.directional_raycast(points, (0, 0, 0), (1.0, 0.0, 0.0), (1.2, 0.9), n=400, farthest=10)
+    rows = rays.collect()
+    at = {p.point_id: (p.x, p.y, p.z) for p in points.collect()}
+    assert rows and stats.first().max_dist > 2
+    for r in rows:
+        near = min(at, key=lambda k: (math.dist(at[k], (r.ex, r.ey, r.ez)), k))
+        assert r.point_id == near and (r.r, r.g, r.b) == pytest.approx((0.25, 0.5, 1.0))
+    nothing, zeros = space3d.directional_raycast(points, (500, 0, 0), (1.0, 0.0, 0.0), (1.2, 0.9), n=400, farthest=10)
+    assert nothing.count() == 0 and zeros.first().vol == 0
