@@ -94,7 +94,7 @@ STEPS["walked"] = """select distinct walk_id, -1 as step, 0.5::double as x, 0.5:
           select n.walk_id, n.step, w.x, w.y, w.yaw, w.th+n_theta as th1, w.th+n_theta+pi()+n_bounce as th2, greatest(0.0, 0.2+n_step) as len, n_view
           from walked w join fx_noise n on n.walk_id = w.walk_id and n.step = w.step+1)))"""
 
-_XYZ = "fx_points3d where point_id < 2000"
+_XYZ = "fx_points3d"
 
 #: The queries by ID.
 QUERIES = {
@@ -196,12 +196,12 @@ QUERIES = {
     "fn_camera_center": "select cam_id, round(cx, 6) as cx, round(cy, 6) as cy, round(cz, 6) as cz from poses",
     "fn_view_dir_world": "select cam_id, round(vx, 6) as vx, round(vy, 6) as vy, round(vz, 6) as vz from poses",
     "fn_fov": "select round(2*atan(6208/(2*3408.59)), 6) as fov_x, round(2*atan(4135/(2*3408.87)), 6) as fov_y",
-    "fn_project_pinhole": "select cam_id, point_id, px, py from pin where abs(px) < 1000 and abs(py) < 1000",
+    "fn_project_pinhole": "select cam_id, point_id, px, py from pin",
     "fn_project_raster": "select point_id, ui, vi, pix from ras",
     "fn_camera_basis": """select cam_id, round(rx/n,6) as rx, round(ry/n,6) as ry, round(rz/n,6) as rz from (select cam_id, sqrt(rx*rx+ry*ry+rz*rz)+1e-9 as n, rx, ry, rz from (select cam_id,
         case when abs(vz) > 0.99 then -vz else vy end as rx, case when abs(vz) > 0.99 then 0 else -vx end as ry, case when abs(vz) > 0.99 then vx else 0 end as rz from poses))""",
     "fn_rotation_a_to_b": "select cam_id, 1.0::double as along, 0.0::double as off_y, 0.0::double as off_z from poses",
-    "fn_align": "select cam_id, point_id, round(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))/7, 6) as dist, round(((x-cx)*vx+(y-cy)*vy+(z-cz)*vz)/7+0.00000013, 6) as ahead from fx_points3d, poses where point_id < 200",
+    "fn_align": "select cam_id, point_id, round(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz))/7, 6) as dist, round(((x-cx)*vx+(y-cy)*vy+(z-cz)*vz)/7+0.00000013, 6) as ahead from fx_points3d, poses",
     "fn_fibonacci": "select dir_id, round(dx*dx+dy*dy+dz*dz, 5) as unit from dirs",
     "fn_height_clip": "select dir_id, round(dist, 4) as dist from clipped3",
     "fn_color_u8": f"select point_id, cast(trunc(least(greatest(r*255,0),255)) as int) as v from {_XYZ}",
