@@ -342,6 +342,14 @@ def test_hot_group_of_near_copies(spark):
     assert gone == {(d, p) for d, p, keep in plain_dedup(rows) if not keep}
 
 
+def test_plans_of_lines_stay_short(spark, docs):
+    """The driver keeps the descriptions of plans, so tables of fixed size must not be printed in them."""
+    sets = linededup._sets(docs, "doc_id", "text", linededup.rarity(docs))
+    pairs = spark.createDataFrame([(1, 2, 1, 2)], "key long, ekey long, d long, ed long")
+    for made in (sets, linededup._asked(pairs, docs, "doc_id", "text")):
+        assert len(made._jdf.queryExecution().toString()) < 50_000
+
+
 def test_lines_awkward(spark, awkward, empty):
     got = linededup.dedup_lines(awkward, count_col="gone")
     assert got.columns == [*awkward.columns, "gone"] and got.count() == len(AWKWARD)
