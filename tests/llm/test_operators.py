@@ -350,6 +350,21 @@ def test_plans_of_lines_stay_short(spark, docs):
         assert len(made._jdf.queryExecution().toString()) < 50_000
 
 
+def test_order_of_rarity_counts_a_sample(spark):
+    """Only sampled texts are counted; tokens keep all bits of their hash, and a frequent one comes last."""
+    rows = [(i, f"often word{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {t: h for t, h in docs.select(F.explode(F.split("text", " ")).alias("t")).select("t", F.xxhash64("t")).collect()}
+    table = spark.range(1).select(linededup.rarity(docs).alias("x")).first().x
+    places = {t: table[(h % 2**64) >> (64 - linededup.RARITY_BITS)] ^ h for t, h in hashes.items()}
+    assert len(set(places.values())) == len(hashes) and max(places, key=places.get) == "often"
+    assert sorted(((x >> (64 - linededup.RARITY_BITS)) ^ b) & (2**linededup.RARITY_BITS - 1) for b, x in enumerate(table)) == list(range(2**linededup.RARITY_BITS))
+    assert all(p % 2 ** (64 - linededup.RARITY_BITS) == hashes[t] % 2 ** (64 - linededup.RARITY_BITS) for t, p in places.items())
+    sampled = [r for r in rows if hash_of(r[1]) % linededup.SAMPLED == 0]
+    assert 0 < len(sampled) < len(rows)
+    assert table == spark.range(1).select(linededup.rarity(spark.createDataFrame(sampled, "doc_id long, text string")).alias("x")).first().x
+
+
 def test_lines_awkward(spark, awkward, empty):
     got = linededup.dedup_lines(awkward, count_col="gone")
     assert got.columns == [*awkward.columns, "gone"] and got.count() == len(AWKWARD)
