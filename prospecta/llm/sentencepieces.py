@@ -90,7 +90,8 @@ def unit_pattern(pieces: list[str], fixed: list[str]) -> re.Pattern:
     split_all = not any(re.search(r"[^▁]▁|[.,;:!?][▁\n]|.\n|\n.", p, re.S) for p in pieces)
     crossing = sorted({c for p in pieces for c in re.findall(r"([^\W\d_])(?=[.,;:!?])", p)})
     guard = f"(?<![{re.escape(''.join(crossing))}])" if crossing else ""
-    words = rf"▁?[^\W\d_]+{guard}(?=[.,;:!?])|[.,;:!?]+(?=[▁\n])|\n|▁*[^▁\n]+|▁+" if split_all else r"(?s).+"
+    # A word without a mark behind it goes on to the next space; nothing is gained by giving characters back.
+    words = rf"▁?[^\W\d_]++(?:{guard}(?=[.,;:!?])|[^▁\n]*+)|[.,;:!?]++(?=[▁\n])|\n|▁*+[^▁\n]++|▁++" if split_all else r"(?s).+"
     if fixed:
         names = "|".join(re.escape(x) for x in sorted(fixed, key=len, reverse=True))
         return re.compile(rf"{names}|(?:(?!{names})[\s\S])+")
@@ -175,9 +176,9 @@ class Encoder:
         return np.sort(where << SIZE_BITS + ID_BITS | np.repeat(self.size[some] << ID_BITS | self.ids[some], n))
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        coded = [np.frombuffer(u.encode() + b"\xfe", np.uint8) for u in units]
-        data = np.concatenate(coded) + np.uint8(1)
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        coded = [u.encode() for u in units]
+        data = np.frombuffer(b"\xfe".join(coded) + b"\xfe", np.uint8) + np.uint8(1)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
         if len(data) >> 63 - SIZE_BITS - ID_BITS:
             raise ValueError("a block of units is too long to index")
         begin = np.cumsum(sizes) - sizes

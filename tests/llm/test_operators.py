@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from prospecta.llm import cluster, decontaminate, langid, linededup, pii, registry, sentencepieces, simhash, tokenfile, topk, toxicity, warc
+from prospecta.llm import cluster, decontaminate, langid, linededup, pii, registry, sentencepieces, simhash, textblocks, tokenfile, topk, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -382,6 +382,30 @@ def model_path():
     return pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 
 
+def test_unit_table_keeps_units_that_recur():
+    """At its limit the table keeps what later calls met, so frequent units are computed once; results stay the same."""
+    met = Counter()
+
+    def compute(units):
+        met.update(units)
+        size = np.array([len(u) for u in units], np.int64)
+        return np.frombuffer("".join(units).encode(), np.uint8).astype(np.int32), np.cumsum(size) - size, size
+
+    table = textblocks.UnitTable(compute, np.int32, limit=100)
+    often, long = [f"often{i}" for i in range(30)], "x" * 70_000
+    for k in range(20):
+        units = [*often, *(f"rare{k}-{i}" for i in range(40)), *([long] if k == 5 else []), *often]
+        flat, size = table.expand(table.rows(units))
+        assert bytes(flat.astype(np.uint8)).decode() == "".join(units) and size.tolist() == [len(u) for u in units]
+        assert len(table.index) <= 100 + 71
+    assert all(met[u] == 1 for u in often)
+    crowd = [f"often{i}" for i in range(90)]
+    for k in range(6):
+        units = [*crowd, f"more{k}", f"other{k}" * 9, *(f"late{k}-{i}" for i in range(20))]
+        assert bytes(table.expand(table.rows(units))[0].astype(np.uint8)).decode() == "".join(units)
+        assert len(table.index) <= 100 + 112
+
+
 def test_pieces_equal_the_library():
     import sentencepiece
 
