@@ -126,7 +126,8 @@ def file_bytes(doc_ids: list, sizes: list[int], ids: np.ndarray) -> list[bytes]:
 
 #: Units start where the tokenizer never joins text: at a run of spaces and line feeds, between a word and
 #: the punctuation after it, and after that punctuation.
-_UNIT = re.compile(r"[ \n]?[^\W\d_]+(?=[.,;:!?])|[.,;:!?]+(?=[ \n])|[ \n]*[^ \n]+|[ \n]+")
+#: A word without punctuation after it goes on to the next space; nothing is gained by giving characters back.
+_UNIT = re.compile(r"[ \n]?[^\W\d_]++(?:(?=[.,;:!?])|[^ \n]*+)|[.,;:!?]++(?=[ \n])|[ \n]*+[^ \n]++|[ \n]++")
 #: With other white space, or with an added token of the tokenizer (<|endoftext|>), a whole text goes to the tokenizer at once.
 # What either library may take for white space, but for the space and the line feed.
 _OTHER_SPACE = [chr(c) for c in (0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
@@ -157,7 +158,7 @@ class Encoder:
         start, size = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
         others = self._encode([u for u, p in zip(units, plain, strict=True) if not p])
         size[~plain] = np.fromiter(map(len, others), np.int64, len(others))
-        parts = [np.fromiter((x for one in others for x in one), self.dtype, int(size[~plain].sum()))]
+        parts = [np.fromiter(itertools.chain.from_iterable(others), self.dtype, int(size[~plain].sum()))]
         start[~plain] = np.cumsum(size[~plain]) - size[~plain]
         if plain.any():
             joined = self.mark + self.mark.join(u for u, p in zip(units, plain, strict=True) if p)

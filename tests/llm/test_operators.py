@@ -406,6 +406,20 @@ def test_unit_table_keeps_units_that_recur():
         assert len(table.index) <= 100 + 112
 
 
+def test_unit_patterns_split_as_their_plain_forms():
+    """The patterns that give nothing back cut texts where plain ones do, that try a word alone and then with what follows."""
+    rng = random.Random(5)
+    plain = re.compile(r"[ \n]?[^\W\d_]+(?=[.,;:!?])|[.,;:!?]+(?=[ \n])|[ \n]*[^ \n]+|[ \n]+")
+    words = re.compile(r"▁?[^\W\d_]+(?<![qz])(?=[.,;:!?])|[.,;:!?]+(?=[▁\n])|\n|▁*[^▁\n]+|▁+")
+    made = sentencepieces.unit_pattern(["q.", "z!", "▁ab"], [])
+    for _ in range(20_000):
+        text = "".join(rng.choices("abqzé日 \n▁.,!?7_-\u0301", k=rng.randint(0, 12)))
+        assert tokenfile._UNIT.findall(text) == plain.findall(text)
+        assert made.findall(text) == words.findall(text)
+        assert "".join(tokenfile._UNIT.findall(text)) == text
+    assert "++" in tokenfile._UNIT.pattern and "++" in made.pattern
+
+
 def test_pieces_equal_the_library():
     import sentencepiece
 
