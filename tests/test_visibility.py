@@ -277,3 +277,14 @@ def test_directional_raycast_colours_the_ends(spark):
         assert r.point_id == near and (r.r, r.g, r.b) == pytest.approx((0.25, 0.5, 1.0))
     nothing, zeros = space3d.directional_raycast(points, (500, 0, 0), (1.0, 0.0, 0.0), (1.2, 0.9), n=400, farthest=10)
     assert nothing.count() == 0 and zeros.first().vol == 0
+
+
+def test_rounds_of_neighbours_leave_small_plans(spark):
+    p = [(0.001 * i, 0.0007 * (i * i % 31), 0.0005 * (i * 7 % 13)) for i in range(40)] + [(5.0 * i, 3.0 * (i % 3), 1.0 * i) for i in range(1, 12)] + [(900.0, 1.0, 2.0)]
+    near = graphs.neighbours(cloud(spark, p), 3)
+    got = {(r.src, r.rank): r.dst for r in near.collect()}
+    for i, a in enumerate(p):
+        want = sorted((math.dist(a, b), j) for j, b in enumerate(p) if j != i)[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in want]
+    # A plan that held its rounds would double with each of them.
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
