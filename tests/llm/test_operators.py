@@ -365,6 +365,19 @@ def test_order_of_rarity_counts_a_sample(spark):
     assert table == spark.range(1).select(linededup.rarity(spark.createDataFrame(sampled, "doc_id long, text string")).alias("x")).first().x
 
 
+def test_line_dedup_orders_by_the_tokens_of_all_texts(spark, monkeypatch):
+    rows = [(i, f"often word{i % 40} word{i}") for i in range(200)]
+    docs, used, sets = spark.createDataFrame(rows, "doc_id long, text string"), [], linededup._sets
+    monkeypatch.setattr(linededup, "_sets", lambda *a: used.append(a[-1]) or sets(*a))
+    assert linededup.removed_lines(docs).count() == sum(not keep for _, _, keep in plain_dedup(rows))
+    table = spark.range(1).select(used[0].alias("x")).first().x
+    counts = [0] * 2**linededup.RARITY_BITS
+    for (h,) in docs.select(F.explode(F.split("text", " ")).alias("t")).select(F.xxhash64("t")).collect():
+        counts[(h % 2**64) >> (64 - linededup.RARITY_BITS)] += 1
+    by_place = sorted(range(len(table)), key=lambda b: ((table[b] >> (64 - linededup.RARITY_BITS)) ^ b ^ (1 << (linededup.RARITY_BITS - 1))) % 2**linededup.RARITY_BITS)
+    assert by_place == sorted(range(len(table)), key=lambda b: (counts[b], b))
+
+
 def test_lines_awkward(spark, awkward, empty):
     got = linededup.dedup_lines(awkward, count_col="gone")
     assert got.columns == [*awkward.columns, "gone"] and got.count() == len(AWKWARD)
