@@ -18,7 +18,10 @@ LONGEST = 5.0
 
 
 def segments_in_range(origins: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
-    """Pairs of origin and segment with at least one end of the segment within the radius, ends relative to the origin."""
+    """Pairs of origin and segment with at least one end of the segment within the radius, ends relative to the origin.
+
+    The pairs are dealt out by their ids: a small file of segments is one scan task, and what a pair grows into (rays, points, pieces) would stay in it.
+    """
     cell = lambda x: F.floor(x / radius)
     ends = F.array(*(F.struct(F.lit(k).alias("end"), cell(F.col(f"x{k}")).alias("cx"), cell(F.col(f"y{k}")).alias("cy")) for k in (1, 2)))
     walls = segments.select("seg_id", "x1", "y1", "x2", "y2", F.inline(ends))
@@ -28,7 +31,8 @@ def segments_in_range(origins: DataFrame, segments: DataFrame, radius: float) ->
     near = near.withColumns({"d1": F.hypot("x1", "y1"), "d2": F.hypot("x2", "y2")})
     # A pair is kept at its first end in range only, so it occurs once.
     once = ((F.col("end") == 1) & (F.col("d1") <= radius)) | ((F.col("end") == 2) & (F.col("d2") <= radius) & (F.col("d1") > radius))
-    return near.where(once).drop("end")
+    parts = int(origins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return near.where(once).drop("end").repartition(parts, "origin_id", "seg_id")
 
 
 def ring(origins: DataFrame, n: int) -> DataFrame:

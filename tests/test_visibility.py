@@ -288,3 +288,13 @@ def test_rounds_of_neighbours_leave_small_plans(spark):
         assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in want]
     # A plan that held its rounds would double with each of them.
     assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_in_range_are_dealt_out(spark):
+    """One scan task of walls must not hold all that its pairs grow into."""
+    origins = spark.createDataFrame([(1, 0.5, 0.5)], "origin_id long, ox double, oy double").coalesce(1)
+    walls = spark.range(64).coalesce(1).select(F.col("id").alias("seg_id"), *((F.col("id") % 5 + k).cast("double").alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))))
+    near = visibility2d.segments_in_range(origins, walls, 30.0)
+    for grown in (visibility2d.wall_points(near, 360), visibility2d.ray_hits(near, 30.0, 360)):
+        assert grown.select(F.spark_partition_id()).distinct().count() > 2
+    assert near.count() == 64
