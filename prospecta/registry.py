@@ -126,7 +126,8 @@ def _ply(s: Scene) -> str:
     """A PLY file of the fixture cloud, written through Spark's text sink as ASCII."""
     path = writers.scratch(s.spark, "cloud") + ".ply"
     names = ("x", "y", "z", "red", "green", "blue")
-    rows = s.points3d.orderBy("point_id").select(F.concat_ws(" ", "x", "y", "z", *(F.rint(F.col(c) * 255).cast("int") for c in "rgb")).alias("value"))
+    made = s.points3d.select("point_id", F.concat_ws(" ", "x", "y", "z", *(F.rint(F.col(c) * 255).cast("int") for c in "rgb")).alias("value"))
+    rows = made.orderBy("point_id").select("value")
     n = s.points3d.count()
     head = ["ply", "format ascii 1.0", f"element vertex {n}", *(f"property {'double' if k < 3 else 'uchar'} {c}" for k, c in enumerate(names)), "end_header"]
     lines = s.spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).unionAll(rows.coalesce(1)).coalesce(1)

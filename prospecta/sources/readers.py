@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import io
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prospecta.sources.writers import scratch
+
 CAMERA_SCHEMA = "image_name string, qx double, qy double, qz double, qw double, tx double, ty double, tz double"
 CLOUD_SCHEMA = "point_id long, x double, y double, z double, r double, g double, b double"
 _ARROW = pa.schema([("point_id", pa.int64()), *((c, pa.float64()) for c in "xyzrgb")])
+_COLUMNS = ("x", "y", "z", "red", "green", "blue")
 # The scalar types of the PLY format.
 _PLY = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
 
@@ -35,12 +35,11 @@ def images_named(cameras: DataFrame, name: str) -> DataFrame:
     return cameras.where(F.get(part, F.lit(1)) == name)
 
 
-def parse_ply(data: bytes) -> np.ndarray:
-    """[n, 6] positions and colours (0 to 1; 0 where there are none) of an ASCII or little-endian PLY file."""
-    head, _, body = data.partition(b"end_header")
-    body = body[body.index(b"\n") + 1 :]
-    lines = head.decode("ascii", "replace").split("\n")
+def _ply_head(lines: list[str]) -> tuple[str, list[str], list[str], int]:
+    """(format, names, types, count) of the vertices."""
     kind = next(x.split()[1] for x in lines if x.startswith("format"))
+    if kind not in ("ascii", "binary_little_endian"):
+        raise ValueError(f"PLY format {kind} is not supported")
     names, types, count, inside = [], [], 0, False
     for line in map(str.split, lines):
         if line[:1] == ["element"]:
@@ -49,49 +48,104 @@ def parse_ply(data: bytes) -> np.ndarray:
         elif line[:1] == ["property"] and inside:
             types.append(_PLY[line[1]])
             names.append(line[2])
-    if kind == "ascii":
-        values = np.array(body.split(maxsplit=count * len(names))[: count * len(names)], float).reshape(count, len(names))
-        columns = {n: values[:, i] for i, n in enumerate(names)}
-    elif kind == "binary_little_endian":
-        table = np.frombuffer(body, np.dtype([(n, "<" + t) for n, t in zip(names, types, strict=True)]), count)
-        columns = {n: table[n].astype(float) for n in names}
-    else:
-        raise ValueError(f"PLY format {kind} is not supported")
-    out = np.zeros((count, 6))
-    for i, n in enumerate(("x", "y", "z", "red", "green", "blue")):
-        if n in columns:
-            whole = i >= 3 and types[names.index(n)] == "u1"
-            out[:, i] = columns[n] / 255.0 if whole else columns[n]
-    return out
+    return kind, names, types, count
 
 
-def parse_xyz(data: bytes) -> np.ndarray:
-    """[n, 6] of lines x y z [r g b]; colours above 1 count as bytes."""
-    rows = [list(map(float, re.split(r"[,\s]+", x.strip())[:6])) for x in io.StringIO(data.decode()) if x.strip() and not x.startswith("#")]
-    out = np.zeros((len(rows), 6))
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    if len(out) and out[:, 3:].max() > 1:
-        out[:, 3:] /= 255.0
-    return out
+def binary_ply(data, part: int = 65536):
+    """(first id, [n, 6] positions and colours from 0 to 1; 0 where there are none) by parts of a little-endian PLY file; nothing of other files."""
+    head, found, _ = bytes(data[: 1 << 20]).partition(b"end_header")
+    if not head.startswith(b"ply") or not found:
+        return
+    kind, names, types, count = _ply_head(head.decode("ascii", "replace").split("\n"))
+    if kind == "ascii":
+        return
+    body = bytes(data[: 1 << 20]).index(b"\n", len(head)) + 1
+    table = np.frombuffer(data, np.dtype([(n, "<" + t) for n, t in zip(names, types, strict=True)]), count, body)
+    for at in range(0, count, part):
+        rows = table[at : at + part]
+        out = np.zeros((len(rows), 6))
+        for i, n in enumerate(_COLUMNS):
+            if n in names:
+                out[:, i] = rows[n] / (255.0 if i >= 3 and types[names.index(n)] == "u1" else 1.0)
+        yield at, out
+
+
+def _text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files that are neither blank nor start with #, numbered in their file.
+
+    Files are read in splits. Their lines are written once, since another scan may split the files otherwise; a file's splits, one row each, are broadcast.
+    """
+    meta = lambda c, name: F.col(f"_metadata.{c}").alias(name)
+    lines = spark.read.text(path).select("value", meta("file_path", "file"), meta("file_block_start", "block"))
+    # The numbers of one split's lines follow each other.
+    lines = lines.where(F.trim("value") != "").where(~F.col("value").startswith("#")).withColumn("at", F.monotonically_increasing_id())
+    out = scratch(spark, "lines")
+    lines.write.parquet(out)
+    lines = spark.read.schema(lines.schema).parquet(out)
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    blocks = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(blocks), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+
+
+def _ply_points(spark: SparkSession, lines: DataFrame, heads: dict[str, list[str]]) -> DataFrame:
+    """The points of ASCII PLY files, a line each."""
+    rows = []
+    for file, head in heads.items():
+        _, names, types, count = _ply_head(head)
+        at = [names.index(n) + 1 if n in names else None for n in _COLUMNS]
+        unit = [255.0 if i >= 3 and k is not None and types[k - 1] == "u1" else 1.0 for i, k in enumerate(at)]
+        rows.append((file, len(head), count, at, unit))
+    known = F.broadcast(spark.createDataFrame(rows, "file string, start long, count long, places array<int>, units array<double>"))
+    there = lines.join(known, "file").where((F.col("line") >= F.col("start")) & (F.col("line") < F.col("start") + F.col("count")))
+    short = known.join(there.groupBy("file").agg(F.count("*").alias("n")), "file", "left").where(F.coalesce("n", F.lit(0)) < F.col("count")).first()
+    if short is not None:
+        raise ValueError(f"{short.file} has {short.n or 0} of {short['count']} vertices")
+    parts = there.withColumn("parts", F.split(F.trim("value"), r"\s+"))
+    value = lambda k: F.coalesce(F.element_at("parts", F.col("places")[k]).cast("double") / F.col("units")[k], F.lit(0.0))
+    return parts.select((F.col("line") - F.col("start")).alias("point_id"), *(value(k).alias(c) for k, c in enumerate("xyzrgb")))
+
+
+def _xyz_points(lines: DataFrame) -> DataFrame:
+    """Points of lines x y z [r g b]; colours count as bytes in files where one is above 1."""
+    parts = lines.withColumn("parts", F.split(F.trim("value"), r"[,\s]+"))
+    points = parts.select("file", F.col("line").alias("point_id"), *(F.coalesce(F.get("parts", F.lit(k)).cast("double"), F.lit(0.0)).alias(c) for k, c in enumerate("xyzrgb")))
+    units = points.groupBy("file").agg(F.when(F.max(F.greatest("r", "g", "b")) > 1, 255.0).otherwise(1.0).alias("unit"))
+    return points.join(F.broadcast(units), "file").select("point_id", "x", "y", "z", *((F.col(c) / F.col("unit")).alias(c) for c in "rgb"))
 
 
 def point_cloud(spark: SparkSession, path: str, downsample: int | None = None, remove_outliers: tuple[int, float] | None = None) -> DataFrame:
     """The points of PLY or XYZ files with their position in the file as id.
 
-    ``downsample`` keeps points 0, k, 2k, ...; ``remove_outliers`` is (neighbours, deviations). Large clouds are best
-    converted to Parquet once, as a file is parsed in one task.
+    ``downsample`` keeps points 0, k, 2k, ...; ``remove_outliers`` is (neighbours, deviations). ASCII files are read in
+    splits, without Python. A binary file is held by one task, so large ones are best converted to Parquet once.
     """
 
     def parse(batches):
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = parse_ply(content) if content.startswith(b"ply") else parse_xyz(content)
-                for at in range(0, len(rows), 65536):
-                    part = rows[at : at + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), *(pa.array(part[:, k].copy()) for k in range(6))], schema=_ARROW)
-
-    points = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, CLOUD_SCHEMA)
+            for content in batch.column(0):
+                for at, rows in binary_ply(memoryview(content.as_buffer())):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(rows))), *(pa.array(rows[:, k].copy()) for k in range(6))], schema=_ARROW)
+
+    lines = _text_lines(spark, path)
+    files = {r.file for r in lines.select("file").distinct().collect()}
+    plys = {r.file for r in lines.where((F.col("line") == 0) & F.trim("value").startswith("ply")).collect()}
+    found = lines.where(F.col("value").rlike(r"^(ply|format|comment|obj_info|element|property|end_header)\b")).orderBy("file", "line").collect() if plys else []
+    heads: dict[str, list[str]] = {}
+    for r in found:
+        head = heads.setdefault(r.file, [])
+        if r.file in plys and len(head) == r.line and (not head or head[-1].strip() != "end_header"):
+            head.append(r.value)
+    heads = {f: head for f, head in heads.items() if f in plys}
+    text = {f: head for f, head in heads.items() if _ply_head(head)[0] == "ascii"}
+    points = spark.createDataFrame([], CLOUD_SCHEMA)
+    if text:
+        points = points.unionByName(_ply_points(spark, lines, text))
+    if files - plys:
+        others = lines.join(F.broadcast(spark.createDataFrame([(f,) for f in sorted(plys)], "file string")), "file", "left_anti")
+        points = points.unionByName(_xyz_points(others))
+    if len(text) < len(plys):
+        points = points.unionByName(spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, CLOUD_SCHEMA))
     if downsample is not None:
         points = down_sampled(points, downsample)
     if remove_outliers is not None:

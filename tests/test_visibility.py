@@ -298,3 +298,32 @@ def test_pairs_in_range_are_dealt_out(spark):
     for grown in (visibility2d.wall_points(near, 360), visibility2d.ray_hits(near, 30.0, 360)):
         assert grown.select(F.spark_partition_id()).distinct().count() > 2
     assert near.count() == 64
+
+
+def test_ascii_clouds_are_read_in_splits_without_python(spark, tmp_path):
+    n = 3000
+    at = [(i / 8, -i / 4, 0.5 * (i % 7), i % 256, i * 3 % 256, i * 5 % 256) for i in range(n)]
+    head = ["ply", "format ascii 1.0", "comment made here", f"element vertex {n}", *(f"property double {c}" for c in "xyz"), *(f"property uchar {c}" for c in ("red", "green", "blue")), "element face 1", "property int k", "end_header"]
+    (tmp_path / "a.ply").write_text("\n".join([*head, *(" ".join(map(str, r)) for r in at), "7", ""]))
+    (tmp_path / "b.xyz").write_text("# a comment\n" + "\n\n".join(", ".join(map(str, r)) for r in at))
+    rows = {c: [r[k] if k < 3 else r[k] / 255 for r in at] for k, c in enumerate("xyzrgb")}
+
+    class Table(dict):
+        def __len__(self):
+            return n
+
+    (tmp_path / "c.ply").write_bytes(writers.ply_bytes(Table(rows)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for name in ("a.ply", "b.xyz", "c.ply"):
+            cloud = readers.point_cloud(spark, str(tmp_path / name))
+            got = {r.point_id: tuple(r)[1:] for r in cloud.collect()}
+            assert len(got) == cloud.count() == n and all(got[i] == (*at[i][:3], *(c / 255 for c in at[i][3:])) for i in range(n))
+            assert ("MapInArrow" in cloud._jdf.queryExecution().toString()) == (name == "c.ply")
+        assert readers.point_cloud(spark, str(tmp_path)).groupBy("point_id").count().where("count <> 3").count() == 0
+        (tmp_path / "short.ply").write_text("\n".join([*head, "1 2 3 4 5 6"]))
+        with pytest.raises(ValueError):
+            readers.point_cloud(spark, str(tmp_path / "short.ply"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
