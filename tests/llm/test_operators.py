@@ -342,6 +342,42 @@ def test_hot_group_of_near_copies(spark):
     assert gone == {(d, p) for d, p, keep in plain_dedup(rows) if not keep}
 
 
+def test_shorter_lines_are_filed_under_a_ninth_of_their_tokens(spark):
+    """Lines look with n / 5 + 1 tokens, in their span of sizes and the one below; they are found with n / 9 + 1 in their own."""
+    rows = [(0, k, n << 31 | i, 0, 0, tok << 8 | span) for k, (n, span) in enumerate([(9, 2), (9, 3), (40, 5), (64, 5), (64, 6)]) for i, tok in enumerate(range(n // 5 + 1))]
+    kept = linededup._filed(spark.createDataFrame(rows, "d long, key long, ni long, sig long, fine long, tok long")).collect()
+    by = {}
+    for r in kept:
+        by.setdefault(r.key, []).append(r.ni & 0xFFFF)
+    assert {k: sorted(v) for k, v in by.items()} == {1: [0, 1], 2: [0, 1, 2, 3, 4], 4: [0, 1, 2, 3, 4, 5, 6, 7]}
+
+
+def test_lines_of_any_two_lengths(spark):
+    """The longer line comes first or second or in the same document; pairs are just as similar as asked for, or just not."""
+    rows, d = [], 0
+    for n in (*range(1, 24), 31, 32, 33, 39, 40, 63, 64, 79, 80, 81, 127, 128, 129, 160, 161, 256):
+        for m in {-(-4 * n // 5), 4 * n // 5, 4 * n // 5 - 1} - {0, -1}:
+            texts = [" ".join(f"t{n}x{m}x{i}" for i in range(k)) for k in (n, m)]
+            for case, pair in enumerate((texts, texts[::-1])):
+                rows += [(d, pair[0].replace("t", f"a{case}")), (d + 1, pair[1].replace("t", f"a{case}"))]
+                rows.append((d + 2, "\n".join(x.replace("t", f"b{case}") for x in pair)))
+                d += 3
+    gone = {(r.d, r.p) for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {(d, p) for d, p, keep in plain_dedup(rows) if not keep} and len(gone) > 100
+
+
+def test_removed_line_of_a_hot_bucket_still_removes_a_shorter_one(spark):
+    """A longer line that an early comparison removes is the only one that a later, shorter line matches."""
+    base, more = [f"b{i}" for i in range(40)], [f"e{i}" for i in range(4)]
+    rows = [(0, " ".join(base))]
+    for k in range(320):
+        rows.append((k + 1, " ".join(w for i, w in enumerate(base) if i not in (k % 20, 20 + k // 20 % 14))))
+    rows += [(1000, " ".join(base + more)), (1001, " ".join(base[:34] + more))]
+    rows += [(k + 2000, " ".join(more + [f"n{k}x{i}" for i in range(20)])) for k in range(700)]
+    gone = {r.d for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {d for d, _, keep in plain_dedup(rows) if not keep} and {1000, 1001} <= gone
+
+
 def test_plans_of_lines_stay_short(spark, docs):
     """The driver keeps the descriptions of plans, so tables of fixed size must not be printed in them."""
     sets = linededup._sets(docs, "doc_id", "text", linededup.rarity(docs))
